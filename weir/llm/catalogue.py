@@ -1,4 +1,8 @@
-"""The opN_<name> queries of this subpackage: thin digests of its operators over whole tables."""
+"""The opN_<name> queries of this subpackage: thin digests of its operators over whole tables.
+
+None has an oracle in SQL: each rests on a vocabulary file, hashing, file formats
+or iteration.  tests/llm holds them against brute-force versions instead.
+"""
 
 from __future__ import annotations
 
@@ -7,27 +11,72 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weir.llm import packing, simhash
+from weir.llm import decontaminate, langid, licenses, media, packing, quality, repair, secrets, simhash, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Languages of documents: text, declared lang and the source's host."""
+    return langid.identify(_table(spark, sf_dir, "documents"), ["doc_id"], F.col("lang"), F.col("source"))
+
+
+def language_id_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same operator over pages: markup language and address suffix."""
+    return langid.identify(langid.of_pages(_table(spark, sf_dir, "pages")), ["page_id"], F.col("declared"), F.col("url"))
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of documents in sequences of 1024 tokens."""
     return packing.pack(_table(spark, sf_dir, "documents"))
 
 
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of documents."""
+    return secrets.scan(_table(spark, sf_dir, "documents"))
+
+
+def op4_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts of documents as telephony audio."""
+    return media.media_columns(_table(spark, sf_dir, "documents"))
+
+
+def op5_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of documents, from Re-Pair shards."""
+    return repair.token_table(_table(spark, sf_dir, "documents"))
+
+
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality scores of documents."""
+    return quality.scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items in documents."""
+    return decontaminate.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints and near-duplicate components of documents."""
     found = simhash.near_duplicates(_table(spark, sf_dir, "documents"))
     return found.select("doc_id", simhash.as_hex(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License phrases and signatures of documents."""
+    return licenses.scan(_table(spark, sf_dir, "documents")).drop("detections")
+
+
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Capture histories of pages, from archives read back."""
+    return warc.capture_histories(_table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {
-        "op2_packing": op2_packing,
-        "op8_simhash": op8_simhash,
-    }
+    named = (op1_language_id, op2_packing, op3_secret_scan, op4_media_columns, op5_repair, op6_quality, op7_decontamination, op8_simhash, op9_license_scan, op10_warc, language_id_pages)
+    return {f.__name__: f for f in named}
 
 
 def oracle_sql() -> dict[str, str]:
