@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weir.llm.common import flat_bytes, row_sums, slices, staged
+from weir.llm.common import flat_bytes, row_key, row_sums, slices, staged
 
 LANGUAGES = ("de", "en", "es", "fr")
 #: Text in none of the languages: every trigram is as likely as any other.
@@ -180,6 +180,14 @@ def identify(docs: DataFrame, keys: list[str], declared: Column | None = None, a
     return out.withColumn("accepted", (F.col("language") != UNKNOWN) & (F.col("posterior") >= least))
 
 
+def accepted_rows(docs: DataFrame, declared: Column | None = None, address: Column | None = None, least: float = LEAST) -> DataFrame:
+    """docs without the rows that identify() does not accept; all their columns stay."""
+    keyed = docs.withColumn("_row", row_key(docs, *docs.columns))
+    rejected = identify(keyed, ["_row"], declared, address, least).where(~F.col("accepted")).select("_row").distinct()
+    # Few rows as a rule: written first, their size decides how they are joined.
+    return keyed.join(staged(rejected, "rejected"), "_row", "left_anti").drop("_row")
+
+
 def of_pages(pages: DataFrame) -> DataFrame:
     """(page_id, url, declared, text): pages as rows for identify(), their text without scripts and tags."""
     html = F.coalesce("html", F.lit(""))

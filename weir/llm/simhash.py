@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weir.llm.common import flat_bytes, slices, staged
+from weir.llm.common import flat_bytes, row_key, slices, staged
 
 SHINGLE_WORDS = 3
 SEED = 42
@@ -59,15 +59,17 @@ def fingerprint_batch(flat: np.ndarray, offsets: np.ndarray, shingle_words: int
     return out
 
 
-def fingerprints(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, seed: int = SEED) -> DataFrame:
-    """(doc_id, fp): 64-bit fingerprints as signed longs; null and empty texts have 0."""
+def fingerprints(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, seed: int = SEED, carry: Column | None = None) -> DataFrame:
+    """(doc_id, fp, carried): 64-bit fingerprints as signed longs; null and empty texts have 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             fp = fingerprint_batch(*flat_bytes(batch.column("text")), shingle_words, seed)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fp.view(np.int64)), batch.column("carried")], ["doc_id", "fp", "carried"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).mapInArrow(run, "doc_id long, fp long")
+    carried = F.lit(None).cast("long") if carry is None else carry
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"), carried.alias("carried"))
+    return rows.mapInArrow(run, "doc_id long, fp long, carried long")
 
 
 def spanning_links(left: np.ndarray, right: np.ndarray, radius: int, tile: int = TILE) -> tuple[np.ndarray, np.ndarray]:
@@ -230,24 +232,32 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
 
-def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle_words: int = SHINGLE_WORDS, seed: int = SEED) -> DataFrame:
-    """(doc_id, fp, component_id) for each row of docs.
+def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle_words: int = SHINGLE_WORDS, seed: int = SEED, carry: Column | None = None) -> DataFrame:
+    """(doc_id, fp, carried, root, component_id) for each row of docs.
 
     component_id is the smallest doc_id among the documents reachable over links
-    of at most `radius` differing bits.  Null and empty texts have fingerprint
-    zero and link like any other; rows with a null doc_id take part, but give
-    their component no id (null where it has no other); repeated rows are
-    returned once each; other columns are not read.
+    of at most `radius` differing bits; root is a fingerprint that names the
+    component.  Null and empty texts have fingerprint zero and link like any
+    other; rows with a null doc_id take part, but give their component no id
+    (null where it has no other); repeated rows are returned once each; other
+    columns are not read; an empty table gives no rows.
     """
-    table = staged(fingerprints(docs, shingle_words, seed), "fingerprints")
-    lowest = table.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    distinct = staged(lowest, "distinct")
+    table = staged(fingerprints(docs, shingle_words, seed, carry), "fingerprints")
+    distinct = staged(table.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
     roots = components(links(distinct, radius))
     rooted = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     owners = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    # One row a distinct fingerprint; both joins below split large keys at run time.
-    found = rooted.join(owners, "root").select("fp", "component_id")
-    return table.join(found, "fp").select("doc_id", "fp", "component_id")
+    # One row a distinct fingerprint; a join with a hot fingerprint is split at run time.
+    found = rooted.join(owners, "root").select("fp", "root", "component_id")
+    return table.join(found, "fp").select("doc_id", "fp", "carried", "root", "component_id")
+
+
+def one_of_each(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """docs with one row of each component: that of the smallest doc_id, and of repeated rows one."""
+    keyed = docs.withColumn("_row", row_key(docs, *docs.columns))
+    groups = near_duplicates(keyed, radius, carry=F.col("_row"))
+    kept = groups.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", F.col("carried").alias("_row"))).alias("k")).select("k._row")
+    return keyed.join(kept, "_row", "left_semi").dropDuplicates(["_row"]).drop("_row")
 
 
 def as_hex(fp: Column) -> Column:
