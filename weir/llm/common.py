@@ -37,6 +37,14 @@ def staged(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def row_key(df: DataFrame, *columns: str) -> Column:
     """A 64-bit hash of the given columns, nulls included, for joins back to the same rows."""
     return F.xxhash64(*[F.coalesce(df[c].cast("string"), F.lit("\u0000null")) for c in columns])

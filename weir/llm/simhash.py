@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weir.llm.common import flat_bytes, row_key, slices, staged
+from weir.llm.common import flat_bytes, fresh, row_key, slices, staged
 
 SHINGLE_WORDS = 3
 SEED = 42
@@ -254,10 +254,11 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle_words: int =
 
 def one_of_each(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """docs with one row of each component: that of the smallest doc_id, and of repeated rows one."""
-    keyed = docs.withColumn("_row", row_key(docs, *docs.columns))
-    groups = near_duplicates(keyed, radius, carry=F.col("_row"))
-    kept = groups.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", F.col("carried").alias("_row"))).alias("k")).select("k._row")
-    return keyed.join(kept, "_row", "left_semi").dropDuplicates(["_row"]).drop("_row")
+    row = fresh(docs, "row")
+    keyed = docs.withColumn(row, row_key(docs, *docs.columns))
+    groups = near_duplicates(keyed, radius, carry=F.col(row))
+    kept = groups.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", F.col("carried").alias(row))).alias("k")).select(F.col("k")[row].alias(row))
+    return keyed.join(kept, row, "left_semi").dropDuplicates([row]).drop(row)
 
 
 def as_hex(fp: Column) -> Column:
