@@ -25,15 +25,35 @@ _CHUNKS = re.compile(r"[ \t\n\r\x0b\x0c]*[^ \t\n\r\x0b\x0c]+|[ \t\n\r\x0b\x0c]+\
 _ODD_SPACE = re.compile("[\x1c-\x1f\x85\xa0 ᠎ -​    　﻿]")
 
 
+# A word of letters that normalisation leaves alone but for case, and punctuation after it: both
+# vocabularies cut between the two (an apostrophe, after which they look at letters, is not here).
+_PLAIN = re.compile(r"( ?)([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?|#$%&*]*)\Z")
+
+
+def _byte_letters() -> list[str]:
+    """The character that stands for each byte in byte-level vocabularies: itself if printable, else from 256 on."""
+    printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = iter(range(256, 512))
+    return [chr(b if b in printable else next(others)) for b in range(256)]
+
+
+_LETTER_OF = _byte_letters()
+
+
 class Encoder:
-    """Texts to packed little-endian unsigned 32-bit ids."""
+    """Texts to packed little-endian unsigned 32-bit ids.
 
-    def __init__(self, path: str, spaces_matter: bool, remembered: int = 200_000, longest: int = 64):
+    spaces_matter: words carry the space before them (else white space is dropped
+    and letters are lower-cased).
+    """
+
+    def __init__(self, path: str, spaces_matter: bool, remembered: int = 300_000, longest: int = 64):
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self._tokenizer = Tokenizer.from_file(path)
         self._tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self._model = self._tokenizer.model
         self._spaces_matter = spaces_matter
         self._remembered, self._longest = remembered, longest
         self._young: dict[str, bytes] = {}
@@ -44,19 +64,37 @@ class Encoder:
             return [text]
         return _CHUNKS.findall(text) if self._spaces_matter else text.split()
 
+    def _known(self, chunk: str) -> bytes | None:
+        """The remembered ids of a chunk."""
+        found = self._young.get(chunk)
+        if found is None and (found := self._old.get(chunk)) is not None:
+            self._young[chunk] = found
+        return found
+
+    def _word(self, word: str) -> bytes:
+        """Ids of one plain word, by the vocabulary's merges alone."""
+        found = self._known(word)
+        if found is None:
+            shown = "".join([_LETTER_OF[b] for b in (word if self._spaces_matter else word.lower()).encode()])
+            found = array("I", [t.id for t in self._model.tokenize(shown)]).tobytes()
+            self._young[word] = found
+        return found
+
+    def _whole(self, chunks: list[str]) -> None:
+        """Remembers the ids of chunks, by the library's whole path."""
+        for chunk, found in zip(chunks, self._tokenizer.encode_batch_fast(chunks, add_special_tokens=False), strict=True):
+            self._young[chunk] = array("I", found.ids).tobytes()
+
     def encode(self, texts: list[str]) -> list[bytes]:
         parts = [self._split(t) for t in texts]
-        young, old = self._young, self._old
-        missing = set(chain.from_iterable(parts)).difference(young)
-        unknown = []
-        for chunk in missing:
-            known = old.get(chunk)
-            if known is None:
-                unknown.append(chunk)
-            else:
-                young[chunk] = known
-        for chunk, found in zip(unknown, self._tokenizer.encode_batch_fast(unknown, add_special_tokens=False), strict=True):
-            young[chunk] = array("I", found.ids).tobytes()
+        unknown = [c for c in set(chain.from_iterable(parts)).difference(self._young) if self._known(c) is None]
+        plain = {c: m for c in unknown if len(c) <= self._longest and (m := _PLAIN.match(c))}
+        self._whole([c for c in unknown if c not in plain])
+        self._whole([x for x in {m[3] for m in plain.values()} if x and self._known(x) is None])
+        young = self._young
+        for chunk, m in plain.items():
+            word = self._word(m[1] + m[2])
+            young[chunk] = word + young[m[3]] if m[3] else word
         out = [b"".join(map(young.__getitem__, p)) for p in parts]
         for chunk in [c for c in unknown if len(c) > self._longest]:
             del young[chunk]
