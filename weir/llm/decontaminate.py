@@ -35,6 +35,10 @@ SAMPLED = 4
 AGREEMENT = 0.6
 WALKS = 4
 ANCHORS = 8
+#: An item's anchors are words of at most so many items and at least so many bytes, if it has so many of them.
+RARE_ITEMS, RARE_BYTES, LEAST_ANCHORS = 1, 7, 4
+#: Anchors leave a window of so many words to the item's end, if it has them.
+LEAST_WINDOW = 10
 #: Bytes of items that are searched for in one pass over the documents.
 ITEM_BYTES = 8 << 20
 LENGTHS = (4, 6, 8, 12, 16, 24, 32, 48, 64, 96, 128, 192, 256)
@@ -70,7 +74,9 @@ def embed(windows: np.ndarray, walk: int, steps: int) -> np.ndarray:
 def samples(width: int, keys: int, sampled: int = SAMPLED, walks: int = WALKS) -> list[list[np.ndarray]]:
     """For each walk, the steps that each of its keys samples."""
     draw = np.random.default_rng(width)
-    return [[np.sort(draw.choice(2 * width, size=min(sampled, 2 * width), replace=False)) for _ in range(-(-keys // walks))] for _ in range(walks)]
+    # The first steps repeat the anchor, and late ones may lie past the window's end: both agree for nothing.
+    steps = np.arange(max(1, width // 4), max(3, 3 * width // 2))
+    return [[np.sort(draw.choice(steps, size=min(sampled, len(steps)), replace=False)) for _ in range(-(-keys // walks))] for _ in range(walks)]
 
 
 def window_keys(windows: np.ndarray, keys: int) -> np.ndarray:
@@ -93,8 +99,11 @@ def keys_for(recall: float, agreement: float = AGREEMENT, sampled: int = SAMPLED
     return max(1, math.ceil(math.log(1 - recall) / math.log(1 - agreement**sampled)))
 
 
-def alignment(item: bytes, region: bytes) -> tuple[int, int]:
-    """(edits, end): the least edit distance of the item to any part of the region, and where that ends."""
+def alignment(item: bytes, region: bytes, most: int | None = None) -> tuple[int, int]:
+    """(edits, end): the least edit distance of the item to any part of the region, and where that ends.
+
+    Beyond `most` edits some larger number than that is given.
+    """
     at = region.find(item)
     if at >= 0:
         return 0, at + len(item)
@@ -106,6 +115,8 @@ def alignment(item: bytes, region: bytes) -> tuple[int, int]:
         new[0] = k
         new[1:] = np.minimum(row[:-1] + (inside != c), row[1:] + 1)
         row = np.minimum.accumulate(new - slope) + slope
+        if most is not None and k % 16 == 0 and int(row.min()) > most:  # it can only grow
+            break
     end = int(row.argmin())
     return int(row[end]), end
 
@@ -135,10 +146,12 @@ def prepare(rows: list[tuple[int, bytes]], recall: float = RECALL, anchors: int
     lengths: dict[bytes, set[int]] = defaultdict(set)
     windows: dict[int, list[tuple[int, int]]] = defaultdict(list)
     for number, words in enumerate(items.words):
-        last = max(1, len(words) - LENGTHS[1])
-        # In each stretch of the item, the word in fewest items, and of those the longest.
-        for stretch in np.array_split(np.arange(last), min(anchors, last)):
-            at = min(stretch.tolist(), key=lambda p: (spread[words[p]], -len(words[p]), p))
+        last = max(1, len(words) - LEAST_WINDOW)
+        # The words in fewest items, and of those the longest, as these are rare in documents too;
+        # common ones only where an item has hardly any other.
+        order = sorted(range(last), key=lambda p: (spread[words[p]], -len(words[p]), p))
+        rare = [p for p in order if spread[words[p]] <= RARE_ITEMS and len(words[p]) >= RARE_BYTES]
+        for at in (rare if len(rare) >= LEAST_ANCHORS else order[: max(LEAST_ANCHORS, len(rare))])[:anchors]:
             width = max(x for x in LENGTHS if x <= len(words) - at)
             lengths[words[at]].add(width)
             windows[width].append((number, at))
@@ -175,12 +188,15 @@ def search(texts: list[bytes], items: Items, edits: float = EDITS) -> list[tuple
                 meet.update((row, item, at - start) for item, start in items.table[int(keys[k, column])])
     best: dict[tuple[int, int], tuple[int, int, int]] = {}
     for row, item, begin in sorted(meet):
+        if best.get((row, item), (1,))[0] == 0:
+            continue
         length = len(items.words[item])
         slack = 2 + math.ceil(edits * length)
         low = max(0, begin - slack)
         region = documents[row][low : max(low, begin + length + slack)]
-        distance, end = alignment(items.joined[item], b" ".join(region))
-        if distance <= edits * len(items.joined[item]):
+        most = int(edits * len(items.joined[item]))
+        distance, end = alignment(items.joined[item], b" ".join(region), most)
+        if distance <= most:
             last = low + b" ".join(region)[:end].count(b" ") + 1
             first = max(low, last - length)
             best[row, item] = min(best.get((row, item), (distance, first, last - first)), (distance, first, last - first))
