@@ -372,7 +372,7 @@ def check_warc(found, pages):
     assert keys == sorted(keys) and len({(r["range"], r["position"]) for r in found}) == len(found)
     urls = {}
     for page_id, url, _ in pages:
-        urls.setdefault(page_id, set()).add(warc.url_key(url))
+        urls.setdefault(page_id, set()).add(warc.url_key(url and warc.target_uri(url)))
     assert all(r["urlkey"] in urls[r["page_id"]] for r in found if r["page_id"] is not None)
 
 

@@ -30,7 +30,7 @@ from weir.llm.common import slices, staged
 #: Compressed bytes after which an archive is closed.
 ARCHIVE_BYTES = 8 << 20
 #: Index rows aimed at in a range, and sampled keys for each range.
-RANGE_ROWS = 20_000
+RANGE_ROWS = 4_000
 SAMPLED = 16
 #: Time of capture of page 0; page n was captured n seconds later.
 EPOCH = datetime(2024, 1, 1, tzinfo=UTC)
@@ -72,6 +72,11 @@ def _page(name: str | None) -> int | None:
     return int(shown) if shown.lstrip("-").isdigit() else None
 
 
+def target_uri(url: str) -> str:
+    """The URL as a header can hold it: all but visible ASCII is percent-encoded."""
+    return quote(url, safe="".join(map(chr, range(33, 127))))
+
+
 def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, revisit: bool) -> bytes:
     """One WARC record; a revisit has the HTTP headers of its payload without the payload."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
@@ -79,7 +84,7 @@ def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int
     moment = EPOCH + timedelta(seconds=max(0, min(page_id or 0, 1 << 37)))
     head = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: {_name(page_id)}", f"WARC-Date: {moment:%Y-%m-%dT%H:%M:%SZ}", f"WARC-Payload-Digest: sha1:{digest32(payload)}"]
     if url is not None:
-        head.append(f"WARC-Target-URI: {quote(url, safe=''.join(map(chr, range(33, 127))))}")
+        head.append(f"WARC-Target-URI: {target_uri(url)}")
     if revisit:
         head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {_name(refers_to)}"]
     head += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
@@ -93,11 +98,16 @@ def _headers(data: bytes) -> dict[str, str]:
 
 def records(archive: bytes) -> Iterator[tuple[int, int, dict[str, str], bytes]]:
     """(offset, length, WARC headers, block) of each gzip member."""
-    at = 0
-    while at < len(archive):
-        member = zlib.decompressobj(31)
-        data = member.decompress(archive[at:]) + member.flush()
-        length = len(archive) - at - len(member.unused_data)
+    view, at = memoryview(archive), 0
+    while at < len(view):
+        member, parts, to = zlib.decompressobj(31), [], at
+        while not member.eof:
+            some = view[to : to + 16_384]
+            if not some:
+                raise ValueError("the archive ends inside a record")
+            parts.append(member.decompress(some))
+            to += len(some)
+        data, length = b"".join(parts), to - at - len(member.unused_data)
         head, _, rest = data.partition(b"\r\n\r\n")
         headers = _headers(head)
         yield at, length, headers, rest[: int(headers["content-length"])]
