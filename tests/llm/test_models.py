@@ -200,6 +200,31 @@ def test_recall_of_altered_items(spark, sf_dir, documents):
     assert len(found - set(want)) <= 0.02 * len(texts)
 
 
+def misspelt(text, edits, draw):
+    """The text with that many characters dropped, replaced or with one put before them."""
+    at = set(draw.choice(len(text), edits, replace=False).tolist())
+    letter = lambda: bytes([int(draw.integers(97, 123))])
+    return b"".join((b"", letter(), letter() + text[i : i + 1])[int(draw.integers(3))] if i in at else text[i : i + 1] for i in range(len(text)))
+
+
+def test_short_items_are_the_brute_version():
+    """Items too short for windows: every place within the edit limit, whichever word is altered, items listed twice included."""
+    draw = np.random.default_rng(12)
+    items = [b"seven brown foxes jumped over", b"a b c d e f", b"the quick grey cat sat on one mat", b"the quick grey cat sat on one mat"]
+    prepared = decontaminate.prepare(list(enumerate(items)))
+    texts = [b"some words before " + b" ".join(decontaminate.words_of(misspelt(items[k % 4], k % 7, draw))) + b" and after it" for k in range(280)]
+    texts += [b"so " + t.replace(t.split()[k], b"xx", 1) + b" on" for t in items[:3] for k in range(5)]
+    found = {(row, item) for row, item, *_ in decontaminate.search(texts, prepared)}
+    assert found == {(row, k) for row, t in enumerate(texts) for k, i in enumerate(items) if edit_distance_inside(i, t) <= int(decontaminate.EDITS * len(i))}
+
+
+@given(st.binary(min_size=1, max_size=90).map(lambda b: bytes(x % 3 + 97 for x in b)), st.binary(max_size=90).map(lambda b: bytes(x % 4 + 97 for x in b)), st.integers(0, 60))
+@settings(max_examples=150, deadline=None)
+def test_fewest_edits(item, region, most):
+    got, want = decontaminate.fewest_edits(item, region, most), edit_distance_inside(item, region)
+    assert got == want or min(got, want) > most
+
+
 def test_leaks_are_the_brute_version(spark, sf_dir, documents):
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     found = rows_of(catalogue.op7_decontamination(spark, sf_dir))

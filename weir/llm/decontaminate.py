@@ -1,22 +1,20 @@
 """Benchmark decontamination by CGK embeddings and repeated sampling LSH.
 
-A CGK walk reads a window of words and emits one symbol a step, staying on or
-leaving a word by a random bit of that word and step.  Windows at edit distance
-k then differ in O(k^2) emitted symbols, so a few sampled symbols, hashed, agree
-with fair probability; as many samples are drawn as the target recall asks for.
-Windows start at anchor words, of which every item has several; they are as long
-as the rest of the item, down to the next lower of a few lengths.  Documents and
-items whose samples meet are aligned exactly, character by character, and kept
-up to a share of edits.
+A CGK walk reads a window of characters and emits one symbol a step, staying on
+or leaving a character by a random bit of that character and step.  Windows that
+differ by few edits often emit the same symbols at a few sampled steps; these,
+hashed, are the window's key.  Windows start at every character of documents and
+of items.  Where enough keys of an item meet those of a document, at places that
+its edits can explain, both are aligned exactly, character by character, and kept
+up to a share of edits.  Items too short for such windows are found by all their
+character trigrams, which the q-gram lemma makes lossless.
 """
 
 from __future__ import annotations
 
 import math
-import zlib
-from collections import Counter, defaultdict
-from collections.abc import Iterator
-from dataclasses import dataclass, field
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -29,19 +27,16 @@ from weir.llm.common import slices
 EDITS = 0.2
 #: Items with fewer words are no evidence and are not searched for.
 LEAST_WORDS = 5
-RECALL = 0.99
-#: Sampled symbols in a key, and the share of embedded symbols that near windows are taken to share.
-SAMPLED = 4
-AGREEMENT = 0.6
-WALKS = 4
-ANCHORS = 8
-#: An item's anchors are words of at most so many items and at least so many bytes, if it has so many of them.
-RARE_ITEMS, RARE_BYTES, LEAST_ANCHORS = 1, 7, 4
-#: Anchors leave a window of so many words to the item's end, if it has them.
-LEAST_WINDOW = 10
+#: Steps of a walk, and those whose symbols make a key.
+STEPS, SAMPLED = 22, range(0, 22, 3)
+#: Keys of an item that must meet, as a share of those that meet in the item itself: at the edit limit a fifth of them do on average.
+MET = 0.055
+#: Items of fewer characters are found by trigrams.
+LEAST_CHARACTERS = 64
+#: Characters of documents that are searched at once.
+AT_ONCE = 1 << 16
 #: Bytes of items that are searched for in one pass over the documents.
 ITEM_BYTES = 8 << 20
-LENGTHS = (4, 6, 8, 12, 16, 24, 32, 48, 64, 96, 128, 192, 256)
 
 _WORD_BYTES = bytes((b | 32 if 65 <= b <= 90 else b) if 48 <= b <= 57 or 65 <= b <= 90 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
@@ -51,52 +46,32 @@ def words_of(text: bytes) -> list[bytes]:
     return text.translate(_WORD_BYTES).split()
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
-    x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-    return x ^ (x >> np.uint64(32))
+#: _LEAVES[step, character]: all bits where the walk leaves that character at that step.
+_LEAVES = np.random.default_rng(7).integers(0, 2, (STEPS, 256)).astype(np.uint32) * np.uint32((1 << 32) - 1)
+_HASHED = np.random.default_rng(8).integers(1, 1 << 32, (STEPS, 256)).astype(np.uint32)
 
 
-def embed(windows: np.ndarray, walk: int, steps: int) -> np.ndarray:
-    """steps x n symbols emitted by one CGK walk over windows (n x words, 0 past the end)."""
-    n, width = windows.shape
-    at, rows = np.zeros(n, np.int64), np.arange(n)
-    padded = np.concatenate([windows, np.zeros((n, 1), windows.dtype)], axis=1)
-    out = np.empty((steps, n), np.uint64)
-    with np.errstate(over="ignore"):
-        for step in range(steps):
-            out[step] = padded[rows, at]
-            bit = _mix(out[step] + np.uint64((walk * 1_000_003 + step) * 0x100000001B3 & (1 << 64) - 1)) >> np.uint64(63)
-            at = np.minimum(at + bit.astype(np.int64), width)
-    return out
-
-
-def samples(width: int, keys: int, sampled: int = SAMPLED, walks: int = WALKS) -> list[list[np.ndarray]]:
-    """For each walk, the steps that each of its keys samples."""
-    draw = np.random.default_rng(width)
-    # The first steps repeat the anchor, and late ones may lie past the window's end: both agree for nothing.
-    steps = np.arange(max(1, width // 4), max(3, 3 * width // 2))
-    return [[np.sort(draw.choice(steps, size=min(sampled, len(steps)), replace=False)) for _ in range(-(-keys // walks))] for _ in range(walks)]
+def window_keys(flat: np.ndarray) -> np.ndarray:
+    """A hash of the sampled symbols of one CGK walk from every character on.
 
-
-def window_keys(windows: np.ndarray, keys: int) -> np.ndarray:
-    """n x keys hashes of sampled symbols, of windows of one length."""
-    width = windows.shape[1]
-    out = []
-    with np.errstate(over="ignore"):
-        for walk, drawn in enumerate(samples(width, keys)):
-            symbols = embed(windows, walk, 2 * width)
-            for number, steps in enumerate(drawn):
-                key = np.full(len(windows), (width * 64 + walk) * 4096 + number, np.uint64)
-                for step in steps:
-                    key = _mix(key * np.uint64(31) + symbols[step])
-                out.append(key)
-    return np.stack(out, axis=1)
+    From the last step back: what a walk samples from a step on, at every character it may be at.
+    """
+    padded = np.concatenate([flat, np.zeros(1, np.uint8)]).astype(np.intp)
+    key, after, drawn = (np.zeros(len(padded), np.uint32) for _ in range(3))
+    for step in range(STEPS - 1, -1, -1):
+        after[:-1] = key[1:]
+        after ^= key
+        after &= _LEAVES[step].take(padded, out=drawn, mode="clip")
+        key ^= after
+        if step in SAMPLED:
+            key ^= _HASHED[step].take(padded, out=drawn, mode="clip")
+    return key[:-1]
 
 
-def keys_for(recall: float, agreement: float = AGREEMENT, sampled: int = SAMPLED) -> int:
-    """Keys of which one agrees with the wanted probability."""
-    return max(1, math.ceil(math.log(1 - recall) / math.log(1 - agreement**sampled)))
+def trigram_keys(flat: np.ndarray) -> np.ndarray:
+    """The three characters from every character on."""
+    padded = np.concatenate([flat, np.zeros(2, np.uint8)]).astype(np.uint32)
+    return padded[:-2] << 16 | padded[1:-1] << 8 | padded[2:]
 
 
 def alignment(item: bytes, region: bytes, most: int | None = None) -> tuple[int, int]:
@@ -121,6 +96,67 @@ def alignment(item: bytes, region: bytes, most: int | None = None) -> tuple[int,
     return int(row[end]), end
 
 
+def fewest_edits(item: bytes, region: bytes, most: int) -> int:
+    """The least edit distance of the item to any part of the region, by Myers' bit vectors.
+
+    Beyond `most` edits some larger number than that is given.
+    """
+    masks = dict.fromkeys(region, 0)
+    for k, c in enumerate(item):
+        masks[c] = masks.get(c, 0) | 1 << k
+    whole, top = (1 << len(item)) - 1, 1 << len(item) - 1
+    up, down, least = whole, 0, len(item)
+    at = least
+    for start in range(0, len(region), 16):
+        if min(at - (len(region) - start), least) > most:  # a character takes off one edit at most
+            break
+        for c in region[start : start + 16]:
+            same = masks[c]
+            across = (((same & up) + up) ^ up) | same
+            less, more = up & across, down | whole & ~(across | up)
+            if more & top:
+                at += 1
+            elif less & top:
+                at -= 1
+                if at < least:
+                    least = at
+            less, more, same = less << 1, more << 1, same | down
+            up, down = (less | ~(same | more)) & whole, more & same
+    return least
+
+
+@dataclass
+class Table:
+    """Keys of the windows of some items by their low bits, with the item and the place of each."""
+
+    keys: np.ndarray
+    items: np.ndarray
+    places: np.ndarray
+    first: np.ndarray  # row of the first key of each value of the low bits, and the number of keys
+
+    @classmethod
+    def of(cls, texts: dict[int, bytes], keyed: Callable[[np.ndarray], np.ndarray]) -> Table:
+        every = np.concatenate([np.zeros(0, np.uint32), *[keyed(np.frombuffer(t, np.uint8)) for t in texts.values()]])
+        items = np.repeat(np.array(list(texts), np.int64), [len(t) for t in texts.values()])
+        places = np.concatenate([np.zeros(0, np.int64), *[np.arange(len(t)) for t in texts.values()]])
+        slots = 1 << max(16, min(24, 4 + len(every).bit_length()))
+        low = every & np.uint32(slots - 1)
+        order = np.argsort(low, kind="stable")
+        return cls(every[order], items[order], places[order], np.concatenate([[0], np.cumsum(np.bincount(low, minlength=slots))]).astype(np.int32))
+
+    def meet(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place in keys, row of the table) of every equal pair."""
+        low = (keys & np.uint32(len(self.first) - 2)).astype(np.intp)
+        first = self.first.take(low)
+        n = self.first.take(low + 1) - first
+        at = np.flatnonzero(n)
+        first, n = first[at].astype(np.int64), n[at].astype(np.int64)
+        row = np.repeat(first - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
+        at = np.repeat(at, n)
+        same = self.keys[row] == keys[at]
+        return at[same], row[same]
+
+
 @dataclass
 class Items:
     """A block of benchmark items, prepared for the search."""
@@ -128,92 +164,111 @@ class Items:
     ids: list[int]
     words: list[list[bytes]]
     joined: list[bytes]
-    keys: int
-    lengths_of: dict[bytes, list[int]] = field(default_factory=dict)  # of windows that start at an anchor word
-    table: dict[int, list[tuple[int, int]]] = field(default_factory=dict)  # key to (item, position of its anchor)
+    least: np.ndarray  # keys that must meet, of each item
+    long: Table
+    short: Table
 
 
-def _symbol(word: bytes) -> int:
-    return zlib.crc32(word) + 1
+def _own_meetings(text: bytes) -> int:
+    """Pairs of equal keys in a text at places that its edits could shift into each other, each key with itself included."""
+    keys = window_keys(np.frombuffer(text, np.uint8))
+    order = np.argsort(keys, kind="stable")
+    total = 0
+    for places in np.split(order, np.flatnonzero(np.diff(keys[order])) + 1):
+        total += 1 if len(places) == 1 else int((np.abs(places[:, None] - places) <= EDITS * len(text) / 2).sum())
+    return total
 
 
-def prepare(rows: list[tuple[int, bytes]], recall: float = RECALL, anchors: int = ANCHORS) -> Items:
+def prepare(rows: list[tuple[int, bytes]]) -> Items:
     """Items by id and text, with the keys of their windows; items of too few words are left out."""
     read = [(i, words_of(t)) for i, t in rows]
     read = [(i, w) for i, w in read if len(w) >= LEAST_WORDS]
-    items = Items([i for i, _ in read], [w for _, w in read], [b" ".join(w) for _, w in read], keys_for(recall))
-    spread = Counter(w for words in items.words for w in set(words))
-    lengths: dict[bytes, set[int]] = defaultdict(set)
-    windows: dict[int, list[tuple[int, int]]] = defaultdict(list)
-    for number, words in enumerate(items.words):
-        last = max(1, len(words) - LEAST_WINDOW)
-        # The words in fewest items, and of those the longest, as these are rare in documents too;
-        # common ones only where an item has hardly any other.
-        order = sorted(range(last), key=lambda p: (spread[words[p]], -len(words[p]), p))
-        rare = [p for p in order if spread[words[p]] <= RARE_ITEMS and len(words[p]) >= RARE_BYTES]
-        for at in (rare if len(rare) >= LEAST_ANCHORS else order[: max(LEAST_ANCHORS, len(rare))])[:anchors]:
-            width = max(x for x in LENGTHS if x <= len(words) - at)
-            lengths[words[at]].add(width)
-            windows[width].append((number, at))
-    items.lengths_of = {w: sorted(x) for w, x in lengths.items()}
-    for width, places in windows.items():
-        matrix = np.array([[_symbol(w) for w in items.words[n][at : at + width]] for n, at in places], np.uint64)
-        for place, keys in zip(places, window_keys(matrix, items.keys).tolist(), strict=True):
-            for key in keys:
-                items.table.setdefault(key, []).append(place)
-    return items
+    joined = [b" ".join(w) for _, w in read]
+    long = {k: t for k, t in enumerate(joined) if len(t) >= LEAST_CHARACTERS}
+    short = {k: t for k, t in enumerate(joined) if len(t) < LEAST_CHARACTERS}
+    least = np.array([max(2, int(MET * _own_meetings(t))) if k in long else 1 for k, t in enumerate(joined)], np.int64)
+    return Items([i for i, _ in read], [w for _, w in read], joined, least, Table.of(long, window_keys), Table.of(short, trigram_keys))
+
+
+def _candidates(flat: np.ndarray, starts: np.ndarray, items: Items, edits: float) -> Iterator[tuple[int, int, int, int]]:
+    """(row, item, least, most place in flat at which the item may begin), of rows that begin at starts."""
+    sizes = np.array([len(t) for t in items.joined], np.int64)
+    limit = np.floor(edits * sizes).astype(np.int64)
+    for table, keyed in ((items.long, window_keys), (items.short, trigram_keys)):
+        if not len(table.keys):
+            continue
+        at, row = table.meet(keyed(flat))
+        item, begin = table.items[row], at - table.places[row]
+        text = np.searchsorted(starts, at, side="right") - 1
+        span = len(flat) + int(sizes.max()) + 1
+        code = np.sort((text * len(sizes) + item) * span + begin + int(sizes.max()))
+        group, begin = np.divmod(code, span)
+        text, item = np.divmod(group, len(sizes))
+        begin -= int(sizes.max())
+        if table is items.long:
+            least = items.least
+        else:  # one edit spoils three of the trigrams
+            least = np.maximum(1, sizes - 2 - 3 * limit)
+        last = np.arange(len(item)) + least[item] - 1
+        ok = np.flatnonzero(last < len(item))
+        ok = ok[(group[last[ok]] == group[ok]) & (begin[last[ok]] - begin[ok] <= limit[item[ok]])]
+        if not len(ok):
+            continue
+        to = last[ok]
+        # Stretches of one text and item that overlap are one.
+        new = np.concatenate([[True], (group[ok][1:] != group[ok][:-1]) | (begin[ok][1:] > begin[to][:-1])])
+        heads = np.flatnonzero(new)
+        tails = np.concatenate([heads[1:], [len(ok)]]) - 1
+        yield from zip(text[ok[heads]].tolist(), item[ok[heads]].tolist(), begin[ok[heads]].tolist(), begin[to[tails]].tolist(), strict=True)
 
 
-def search(texts: list[bytes], items: Items, edits: float = EDITS) -> list[tuple[int, int, int, int, int]]:
-    """(row, item, edits, first word, words) of every item found in every text, the best place of each."""
-    documents = [words_of(t) for t in texts]
-    lengths_of = items.lengths_of
-    windows: dict[int, list[tuple[int, int]]] = defaultdict(list)
-    for row, words in enumerate(documents):
-        for at in [i for i, w in enumerate(words) if w in lengths_of]:
-            for width in lengths_of[words[at]]:
-                windows[width].append((row, at))
-    meet: set[tuple[int, int, int]] = set()  # row, item, word at which the item would begin
-    known = np.sort(np.fromiter(items.table, np.uint64, len(items.table)))
-    for width, places in windows.items():
-        for some in (places[i : i + 20_000] for i in range(0, len(places), 20_000)):
-            matrix = np.zeros((len(some), width), np.uint64)
-            for k, (row, at) in enumerate(some):
-                found = [_symbol(w) for w in documents[row][at : at + width]]
-                matrix[k, : len(found)] = found
-            keys = window_keys(matrix, items.keys)
-            place = np.minimum(np.searchsorted(known, keys), len(known) - 1)
-            for k, column in np.argwhere(known[place] == keys).tolist():
-                row, at = some[k]
-                meet.update((row, item, at - start) for item, start in items.table[int(keys[k, column])])
+def _searched(documents: list[bytes], items: Items, edits: float) -> Iterator[tuple[int, int, int, int, int]]:
+    flat = np.frombuffer(b"\n".join(documents), np.uint8)
+    starts = np.concatenate([[0], np.cumsum([len(d) + 1 for d in documents])[:-1]])
     best: dict[tuple[int, int], tuple[int, int, int]] = {}
-    for row, item, begin in sorted(meet):
+    for row, item, low, high in _candidates(flat, starts, items, edits):
         if best.get((row, item), (1,))[0] == 0:
             continue
-        length = len(items.words[item])
-        slack = 2 + math.ceil(edits * length)
-        low = max(0, begin - slack)
-        region = documents[row][low : max(low, begin + length + slack)]
-        most = int(edits * len(items.joined[item]))
-        distance, end = alignment(items.joined[item], b" ".join(region), most)
-        if distance <= most:
-            last = low + b" ".join(region)[:end].count(b" ") + 1
-            first = max(low, last - length)
-            best[row, item] = min(best.get((row, item), (distance, first, last - first)), (distance, first, last - first))
-    return [(row, item, *found) for (row, item), found in sorted(best.items())]
-
-
-def _blocks(benchmark: DataFrame, recall: float, item_bytes: int) -> Iterator:
+        document, wanted, length = documents[row], items.joined[item], len(items.words[item])
+        most = int(edits * len(wanted))
+        low = max(0, low - int(starts[row]) - most)
+        region = document[low : max(low, high - int(starts[row]) + len(wanted) + most)]
+        if wanted not in region and fewest_edits(wanted, region, most) > most:
+            continue
+        distance, end = alignment(wanted, region, most)
+        last = document[: low + end].count(b" ") + 1
+        found = distance, max(0, last - length), min(last, length)
+        best[row, item] = min(best.get((row, item), found), found)
+    for (row, item), found in best.items():
+        yield row, item, *found
+
+
+def search(texts: list[bytes], items: Items, edits: float = EDITS) -> list[tuple[int, int, int, int, int]]:
+    """(row, item, edits, first word, words) of every item found in every text, the best place of each."""
+    out: list[tuple[int, int, int, int, int]] = []
+    documents = [b" ".join(words_of(t)) for t in texts]
+    first = 0
+    while first < len(documents):
+        to, size = first, 0
+        while to < len(documents) and (to == first or size + len(documents[to]) <= AT_ONCE):
+            size += len(documents[to])
+            to += 1
+        out += [(first + row, *found) for row, *found in _searched(documents[first:to], items, edits)]
+        first = to
+    return sorted(out)
+
+
+def _blocks(benchmark: DataFrame, item_bytes: int) -> Iterator:
     """Prepared items, in blocks of a bounded size, as broadcast variables."""
     rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("binary").alias("text")).where("item_id is not null and text is not null")
     total = rows.agg(F.coalesce(F.sum(F.octet_length("text") + 16), F.lit(0))).first()[0]
     blocks = max(1, math.ceil(total / item_bytes))
     for number in range(blocks):
         block = rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == number).collect()
-        yield benchmark.sparkSession.sparkContext.broadcast(prepare(sorted({(r[0], bytes(r[1])) for r in block}), recall))
+        yield benchmark.sparkSession.sparkContext.broadcast(prepare(sorted({(r[0], bytes(r[1])) for r in block})))
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, edits: float = EDITS, recall: float = RECALL, item_bytes: int = ITEM_BYTES) -> DataFrame:
+def leaks(docs: DataFrame, benchmark: DataFrame, edits: float = EDITS, item_bytes: int = ITEM_BYTES) -> DataFrame:
     """(doc_id, item_id, edits, similarity, first_word, n_words): each item found in each document, once.
 
     The benchmark is a stated query set: it goes over all documents in blocks of
@@ -224,7 +279,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, edits: float = EDITS, recall: f
     schema = "doc_id long, item_id long, edits long, similarity double, first_word long, n_words long"
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     out = None
-    for shared in _blocks(benchmark, recall, item_bytes):
+    for shared in _blocks(benchmark, item_bytes):
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             items = shared.value
@@ -239,10 +294,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame, edits: float = EDITS, recall: f
     return out
 
 
-def without_leaks(docs: DataFrame, benchmark: DataFrame, edits: float = EDITS, recall: float = RECALL, item_bytes: int = ITEM_BYTES) -> DataFrame:
+def without_leaks(docs: DataFrame, benchmark: DataFrame, edits: float = EDITS, item_bytes: int = ITEM_BYTES) -> DataFrame:
     """docs without the rows whose text holds an item; all their columns stay."""
     names = docs.columns
-    for shared in _blocks(benchmark, recall, item_bytes):
+    for shared in _blocks(benchmark, item_bytes):
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in slices(batches, "text"):
