@@ -207,6 +207,23 @@ def misspelt(text, edits, draw):
     return b"".join((b"", letter(), letter() + text[i : i + 1])[int(draw.integers(3))] if i in at else text[i : i + 1] for i in range(len(text)))
 
 
+@pytest.mark.parametrize("share", [0.05, 0.1, 0.15, 0.2])
+def test_recall_of_misspelt_items(spark, sf_dir, documents, share):
+    """Items with characters altered anywhere, up to the edit limit, are found in documents again."""
+    draw = np.random.default_rng(11)
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()
+    prepared = decontaminate.prepare([(r["item_id"], r["text"].encode()) for r in benchmark])
+    hosts = [b" ".join(decontaminate.words_of((r["text"] or "").encode()))[:300] for r in documents.collect()]
+    texts, want = [], set()
+    for k, text in enumerate(prepared.joined * 8):
+        spoilt = b" ".join(decontaminate.words_of(misspelt(text, int(share * len(text)), draw)))
+        if decontaminate.fewest_edits(text, spoilt, len(text)) <= decontaminate.EDITS * len(text):
+            want.add((len(texts), k % len(prepared.joined)))
+        texts.append(b" ".join([hosts[k % len(hosts)], spoilt, hosts[k % len(hosts)]]))
+    found = {(row, item) for row, item, *_ in decontaminate.search(texts, prepared)}
+    assert len(want) > 100 and len(found & want) >= 0.985 * len(want)
+
+
 def test_short_items_are_the_brute_version():
     """Items too short for windows: every place within the edit limit, whichever word is altered, items listed twice included."""
     draw = np.random.default_rng(12)
