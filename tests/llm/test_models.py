@@ -105,6 +105,13 @@ def test_language_of_markup(spark):
     assert found[1]["declared"] == "fr" and found[1]["language"] == "fr" and found[2]["declared"] is None and found[3]["host"] == "y.de"
 
 
+def test_language_of_late_markup(spark):
+    """The tag counts wherever it stands, and however long its attributes are."""
+    tag = f'<HTML class="{"c " * 400}" LANG=de>'
+    docs = spark.createDataFrame([(1, "x " * 50_000 + tag, None), (2, tag, "fr"), (3, "<html><p>" + "y " * 40_000 + '<html lang="es">', "fr"), (4, "none", "fr"), (5, None, "fr")], "doc_id long, text string, lang string")
+    assert {r["doc_id"]: r["declared"] for r in langid.evidence(docs, F.col("lang"), F.lit("")).collect()} == {1: "de", 2: "de", 3: "es", 4: "fr", 5: "fr"}
+
+
 # Quality
 
 

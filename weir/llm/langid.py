@@ -51,9 +51,14 @@ def trigrams(flat: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     return code, x != 32
 
 
+def markup_language(text: Column) -> Column:
+    """The lang attribute of the first html tag that has one, wherever it stands; none: null or empty."""
+    return F.when(F.contains(F.lower(text), F.lit("<html")), F.regexp_extract(text, r"(?i)<html\b[^>]*?\blang\s*=\s*[\"']?([a-z]{2,3})", 1))
+
+
 def evidence(docs: DataFrame, declared: Column, address: Column) -> DataFrame:
     """docs with declared (a language, "other" or null), host, domain and suffix."""
-    markup = F.regexp_extract(F.substring(F.coalesce("text", F.lit("")), 1, 1 << 16), r"(?i)<html\b[^>]{0,400}?\blang\s*=\s*[\"']?([a-z]{2,3})", 1)
+    markup = markup_language(F.col("text"))
     said = F.lower(F.coalesce(F.nullif(markup, F.lit("")), F.regexp_extract(declared.cast("string"), r"^\s*([A-Za-z]{2,3})(?![A-Za-z])", 1)))
     host = F.lower(F.regexp_extract(F.coalesce(address.cast("string"), F.lit("")), r"^(?:[A-Za-z][A-Za-z0-9+.-]*://)?(?:[^/@?#]*@)?([^/:?#]*)", 1))
     return docs.withColumns({
@@ -192,6 +197,6 @@ def accepted_rows(docs: DataFrame, declared: Column | None = None, address: Colu
 def of_pages(pages: DataFrame) -> DataFrame:
     """(page_id, url, declared, text): pages as rows for identify(), their text without scripts and tags."""
     html = F.coalesce("html", F.lit(""))
-    declared = F.nullif(F.regexp_extract(html, r"(?i)<html\b[^>]{0,400}?\blang\s*=\s*[\"']?([a-z]{2,3})", 1), F.lit(""))
+    declared = F.nullif(markup_language(html), F.lit(""))
     text = F.regexp_replace(F.regexp_replace(html, r"(?is)<(script|style)\b.*?</\1\s*>", " "), r"<[^>]*>", " ")
     return pages.select("page_id", "url", declared.alias("declared"), text.alias("text"))
