@@ -154,6 +154,14 @@ def utf8_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", text.repair_utf8(cut).alias("repaired")).select("doc_id", F.char_length("repaired").cast("bigint").alias("n_chars"), F.endswith("repaired", F.lit("�")).alias("cut_inside"))
 
 
+def utf8_repair_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole texts with ill-formed bytes all over them: letters without their last byte, stray bytes around spaces and at the end."""
+    stray, cut = (F.lit(x).cast("string") for x in (b"\xc3 \x9f", b"\xc3"))
+    spoilt = F.concat(F.replace(F.replace("text", F.lit("ñ"), cut), F.lit(" "), stray), F.lit(b"\xf0\x9f").cast("string"))
+    repaired = text.repair_utf8(spoilt)
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.char_length(repaired).cast("bigint").alias("n_chars"), F.md5(repaired.cast("binary")).alias("digest"))
+
+
 def _costed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rfc(spark, sf_dir).where(F.col("error_class").isNull()).withColumn("cost", text.entry_cost())
 
@@ -196,7 +204,7 @@ def topic_route(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     named = (
         parse_syslog_bsd, parse_syslog_rfc5424, parse_kmsg, parse_dmesg_legacy, parse_dmesg_iso, parse_journald, parse_error_classes, level_decode, level_encode, filter_time_range, filter_journal, merge_sources, merge_limit,
-        jsonl_roundtrip, line_cap, utf8_repair, entry_cost, ring_entry_cap, ring_byte_cap, spool_evict, batch_assign, rate_limit, drop_counts, topic_route,
+        jsonl_roundtrip, line_cap, utf8_repair, utf8_repair_whole, entry_cost, ring_entry_cap, ring_byte_cap, spool_evict, batch_assign, rate_limit, drop_counts, topic_route,
     )
     return {f.__name__: f for f in named}
 
@@ -266,6 +274,7 @@ def oracle_sql() -> dict[str, str]:
         "jsonl_roundtrip": f"{_P_RFC} SELECT ts, ts_offset_s, severity, level, facility, host, proc, pid, msg, 'syslog_rfc5424' AS src, sd, error_class FROM p WHERE error_class IS NULL",
         "line_cap": f"SELECT doc_id, CAST(least(strlen(text) + 1, {LINE_CAP}) AS BIGINT) AS kept_bytes, strlen(text) >= {LINE_CAP} AS truncated FROM documents",
         "utf8_repair": f"SELECT doc_id, CAST(CASE WHEN n <= k THEN length(text) ELSE whole + CASE WHEN strlen(left(text, whole)) < k THEN 1 ELSE 0 END END AS BIGINT) AS n_chars, n > k AND strlen(left(text, whole)) < k AS cut_inside FROM (SELECT *, list_max(list_filter(range(0, k + 1), lambda x: strlen(left(text, x)) <= k)) AS whole FROM ({_DOCS_LAST}))",
+        "utf8_repair_whole": "SELECT doc_id, CAST(length(t) AS BIGINT) AS n_chars, md5(t) AS digest FROM (SELECT doc_id, regexp_replace(replace(replace(text, 'ñ', '�'), ' ', '� �') || '�', '�+', '�', 'g') AS t FROM documents)",
         "entry_cost": f"{_P_RFC} SELECT event_id, CAST({_COST} AS BIGINT) AS cost FROM p WHERE error_class IS NULL",
         "ring_entry_cap": f"SELECT event_id FROM events ORDER BY event_id DESC LIMIT {RING_ENTRIES}",
         "ring_byte_cap": f"{_P_RFC}, q AS (SELECT event_id, CAST({_COST} AS BIGINT) AS cost FROM p WHERE error_class IS NULL), r AS (SELECT *, row_number() OVER (ORDER BY event_id DESC) AS k, sum(cost) OVER (ORDER BY event_id DESC ROWS UNBOUNDED PRECEDING) AS size FROM q) SELECT event_id, cost FROM r WHERE k <= {RING_ENTRIES} AND (size <= {RING_BYTES} OR k = 1)",
