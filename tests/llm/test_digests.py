@@ -345,6 +345,13 @@ def test_license_cases(spark, odd, clashing, empty):
     assert licenses.scan(empty).count() == 0
 
 
+def test_license_address_alone_passes_the_gate(spark):
+    docs = [(1, "see eupl.eu for it"), (2, "see https://eupl.eu/1.2/en/ for it"), (3, "see nothing")]
+    found = rows_of(licenses.scan(spark.createDataFrame(docs, "doc_id long, text string")))
+    check_license(found, docs)
+    assert {r["doc_id"]: r["labels"] for r in found} == {1: "eupl-1.2", 2: "eupl-1.2", 3: ""}
+
+
 def test_license_rules_are_hundreds():
     table = licenses.rules()
     assert len(table) > 200 and all(r.keyword == r.keyword.lower() and re.compile(r.pattern) for r in table)

@@ -125,7 +125,7 @@ CLAUSES = (
     ("unknown-license", "licence", r"\bunder (?:the|an?) [a-z0-9 .-]{2,40}? licence\b", 0.3),
 )
 #: Texts without any of these hold no detection: every rule's signature needs one of them.
-GATE = ("licen[cs]e", "copyright", "©", "spdx", "rights? reserved", "public domain", "creative ?commons", "opensource", "unlicense", "permission", "redistribut", "warranty", "proprietary", "unauthorized", r"\b(?:cc|gpl|bsd|mit|apache|lgpl|agpl|cddl|wtfpl|cecill|openrail|0bsd)", r"\.(?:org|com|co|net|eu|info)/", "advertising materials", "neither the name", "machine-executable", "invariant sections", "free software", "source code form", "reproduc", "unencumbered")
+GATE = ("licen[cs]e", "copyright", "©", "spdx", "rights? reserved", "public domain", "creative ?commons", "opensource", "unlicense", "permission", "redistribut", "warranty", "proprietary", "unauthorized", r"\b(?:cc|gpl|bsd|mit|apache|lgpl|agpl|cddl|wtfpl|cecill|openrail|0bsd)", r"\.(?:org|com|co|net|eu|info)/", "advertising materials", "neither the name", "machine-executable", "eupl", "invariant sections", "free software", "source code form", "reproduc", "unencumbered")
 
 
 @dataclass(frozen=True)
