@@ -3,7 +3,7 @@
 Every document is tokenized where it is read and cut at multiples of the
 sequence length: whole pieces fill sequences of their own, and what remains is
 packed.  Only piece lengths and checksums are shuffled, to groups drawn by a hash
-of the document; groups are packed independently of each other, so that a task
+of the row's number, so that equal rows part too; groups are packed independently of each other, so that a task
 holds one group at a time however many documents there are.
 """
 
@@ -19,8 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weir.llm.common import slices
-from weir.llm.tokens import BYTE_BPE, encoder
+from weir.llm.common import flat_bytes, slices
+from weir.llm.tokens import BYTE_BPE, ENCODED_BYTES, encoder
 
 SEQUENCE_TOKENS = 1024
 #: Documents a group; larger groups pad less and take more memory in a task.
@@ -68,25 +68,22 @@ def first_fit_decreasing(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray,
 
 
 def piece_checksums(docs: DataFrame, vocabulary: str = BYTE_BPE, end_id: int = 0, length: int = SEQUENCE_TOKENS) -> DataFrame:
-    """(doc_id, doc_tokens, crcs): tokens with the end id, and the crc32 of each `length` of them."""
+    """(doc_id, row, doc_tokens, crcs): tokens with the end id, and the crc32 of each `length` of them; row is a number of its own."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end = encoder(vocabulary, True).encode, int(end_id).to_bytes(4, "little")
-        for batch in slices(batches, "text", 2 << 20):
-            texts = [t or "" for t in batch.column("text").to_pylist()]
-            tokens, crcs = [], []
-            for ids in encode(texts):
-                ids += end
-                tokens.append(len(ids) // 4)
-                crcs.append([zlib.crc32(ids[a : a + 4 * length]) for a in range(0, len(ids), 4 * length)])
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(tokens, pa.int64()), pa.array(crcs, pa.list_(pa.int64()))], ["doc_id", "doc_tokens", "crcs"])
+        for batch in slices(batches, "text", ENCODED_BYTES):
+            found, bounds = encoder(vocabulary).encode(*flat_bytes(batch.column("text")), end_id)
+            ids, edges = memoryview(np.ascontiguousarray(found, "<u4")).cast("B"), (4 * bounds).tolist()
+            crcs = [[zlib.crc32(ids[k : min(k + 4 * length, b)]) for k in range(a, b, 4 * length)] for a, b in zip(edges, edges[1:], strict=False)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row"), pa.array(np.diff(bounds)), pa.array(crcs, pa.list_(pa.int64()))], ["doc_id", "row", "doc_tokens", "crcs"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, doc_tokens long, crcs array<long>")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), F.col("text").cast("binary").alias("text"))
+    return rows.mapInArrow(run, "doc_id long, row long, doc_tokens long, crcs array<long>")
 
 
 def pack_group(rows: pd.DataFrame, length: int = SEQUENCE_TOKENS) -> pd.DataFrame:
-    """Pieces of one group of documents (doc_id, doc_tokens, crcs, group) with their places."""
-    rows = rows.assign(_tie=[c[0] for c in rows["crcs"]]).sort_values(["doc_id", "doc_tokens", "_tie"], kind="stable")
+    """Pieces of one group of documents (doc_id, row, doc_tokens, crcs, group) with their places."""
+    rows = rows.sort_values("row", kind="stable")
     doc_tokens = rows["doc_tokens"].to_numpy(np.int64)
     pieces = -(-doc_tokens // length)
     doc = np.repeat(np.arange(len(rows)), pieces)
@@ -110,5 +107,5 @@ def pack(docs: DataFrame, vocabulary: str = BYTE_BPE, end_id: int = 0, length: i
     """
     groups = max(1, math.ceil(docs.count() / group_docs))
     measured = piece_checksums(docs, vocabulary, end_id, length)
-    drawn = measured.withColumn("group", F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(-1)), "doc_tokens", F.element_at("crcs", -1)), F.lit(groups)))
+    drawn = measured.withColumn("group", F.pmod(F.xxhash64("row"), F.lit(groups)))
     return drawn.groupBy("group").applyInPandas(lambda rows: pack_group(rows, length), _PIECES)

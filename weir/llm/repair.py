@@ -1,11 +1,13 @@
 """Token-id shards compressed by Re-Pair grammars, for random-access decoding.
 
 Documents are range-partitioned by id, encoded in that order and written as
-shards of about `shard_tokens` ids.  In each shard, frequent pairs of adjacent
-symbols are replaced by nonterminals, in rounds of the `pairs_per_round` most
-frequent ones, never across the end of a document.  A shard holds the rules, the
-expansion length of each nonterminal and where each document's symbols begin, so
-one document is decoded without its neighbours.
+shards of about `shard_tokens` ids.  In each shard, pairs of adjacent symbols that
+occur `least` times or more are replaced by nonterminals until none is left, never
+across the end of a document.  A round replaces every pair wherever no more
+frequent pair overlaps it, and the next one looks only at pairs that can still be
+frequent.  A shard holds the rules, the expansion length of each nonterminal and
+where each document's symbols begin, so one document is decoded without its
+neighbours.
 """
 
 from __future__ import annotations
@@ -20,15 +22,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from weir.llm.common import slices, staged
-from weir.llm.tokens import WORD_BPE, encoder
+from weir.llm.common import flat_bytes, slices, staged
+from weir.llm.tokens import ENCODED_BYTES, WORD_BPE, encoder
 
 SHARD_TOKENS = 1 << 20
-ROUNDS = 5
-PAIRS_PER_ROUND = 128
-#: A pair is replaced where it occurs this often in a shard.
-LEAST_USES = 32
-_HASH_BITS = 18
+#: A pair is replaced where it occurs this often in a shard: a rule takes 12 bytes, a use of it saves 4.
+LEAST_USES = 4
+_HASH_BITS = 20
 _HEADER = struct.Struct("<4sIIIIB")
 _MAGIC = b"WRP1"
 
@@ -47,72 +47,109 @@ class Shard:
     symbols: np.ndarray  # uint16 or uint32
 
 
-def compress(ids: np.ndarray, ends: np.ndarray, rounds: int = ROUNDS, pairs: int = PAIRS_PER_ROUND, least: int = LEAST_USES) -> tuple[np.ndarray, np.ndarray, int, np.ndarray]:
+def compress(ids: np.ndarray, ends: np.ndarray, least: int = LEAST_USES) -> tuple[np.ndarray, np.ndarray, int, np.ndarray]:
     """(symbols, ends in symbols, base, rules) for ids of documents that end at `ends`."""
-    symbols = np.asarray(ids, np.uint32).copy()
-    ends = np.asarray(ends, np.int64).copy()
-    base = int(symbols.max()) + 1 if len(symbols) else 0
-    rules: list[tuple[int, int]] = []
-    none = 1 << _HASH_BITS
-    for _ in range(rounds):
-        if len(symbols) < 2:
+    n = len(ids)
+    symbols = np.append(ids, 0).astype(np.uint32)
+    base = int(symbols.max()) + 1 if n else 0
+    ends = np.asarray(ends, np.int64)
+    # Symbols are linked to their neighbours in the same document; n stands for none.
+    after, before = np.arange(1, n + 2, dtype=np.int32), np.arange(-1, n, dtype=np.int32)
+    last = ends[np.diff(ends, prepend=0) > 0] - 1
+    after[last] = after[n] = before[0] = before[last + 1] = n
+    live = np.arange(n + 1) < n
+    weights = np.zeros(n + 1, np.uint64)
+    draw = np.random.default_rng(5)
+    rules = [np.zeros((0, 2), np.uint32)]
+    named = base
+    at = np.flatnonzero(after < n).astype(np.int32)  # where a pair begins that may be frequent
+    while len(at):
+        # Counts by hash are at least the pairs' own; new multipliers each round part what met before.
+        bits = max(8, min(_HASH_BITS, len(at).bit_length() + 1))
+        one, two = (np.uint32(x | 1) for x in draw.integers(1 << 31, 1 << 32, 2).tolist())
+        left, right = symbols[at], symbols[after[at]]
+        slot = left * one ^ right * two
+        slot = (slot ^ slot >> np.uint32(15)) * np.uint32(2246822519) >> np.uint32(32 - bits)
+        count = np.bincount(slot, minlength=1 << bits).astype(np.uint32)[slot]
+        often = np.flatnonzero(count >= least)
+        if not len(often):
             break
-        left, right = symbols[:-1], symbols[1:]
-        slot = ((left * np.uint32(2654435761) ^ right * np.uint32(2246822519)) * np.uint32(3266489917)) >> np.uint32(32 - _HASH_BITS)
-        slot[ends[ends < len(symbols)] - 1] = none  # a pair across documents
-        counts = np.bincount(slot, minlength=none + 1)
-        counts[none] = 0
-        top = np.argpartition(counts, -pairs)[-pairs:]
-        top = top[counts[top] >= least]
-        if not len(top):
-            break
-        rank = np.full(none + 1, -1, np.int16)
-        rank[top] = np.arange(len(top))
-        ranks = rank[slot]
-        at = np.flatnonzero(ranks >= 0)
-        which = ranks[at]
-        # A slot stands for the pair found first in it; others that share the slot are left alone.
-        first = np.zeros(len(top), np.int64)
-        first[which[::-1]] = at[::-1]
-        same = (left[at] == left[first][which]) & (right[at] == right[first][which])
-        at, which = at[same], which[same]
-        # Of adjacent places, every other one is replaced.
-        run = np.r_[True, np.diff(at) != 1]
-        alternate = (np.arange(len(at)) - np.flatnonzero(run)[np.cumsum(run) - 1]) % 2 == 0
-        at, which = at[alternate], which[alternate]
-        used = np.bincount(which, minlength=len(top)) >= least
-        if not used.any():
-            break
-        number = np.cumsum(used) - 1 + base + len(rules)
-        at, which = at[used[which]], which[used[which]]
-        rules += list(zip(left[first[used]].tolist(), right[first[used]].tolist(), strict=True))
-        keep = np.ones(len(symbols), bool)
-        keep[at + 1] = False
-        symbols[at] = number[which]
-        symbols = symbols[keep]
-        ends = ends - np.searchsorted(at + 1, ends)
-    return symbols, ends, base, np.array(rules, np.uint32).reshape(-1, 2)
+        at, slot, left, right = at[often], slot[often], left[often], right[often]
+        weight = count[often].astype(np.uint64) << np.uint64(32) | slot
+        weights[at] = weight
+        following = after[at]
+        chosen = np.flatnonzero((weight >= weights[before[at]]) & (weight >= weights[following]))
+        weights[at] = 0
+        # Neighbours that are both chosen are alike; of such a run, every other one.
+        run = np.append(True, following[chosen[:-1]] != at[chosen[1:]])
+        if not run.all():
+            chosen = chosen[(np.arange(len(chosen)) - np.flatnonzero(run)[np.cumsum(run) - 1]) % 2 == 0]
+        # A slot stands for the pair found first in it; others in it wait for the next round.
+        first = np.zeros(1 << bits, np.int32)
+        first[slot[chosen][::-1]] = chosen[::-1]
+        of_first = first[slot[chosen]]
+        chosen = chosen[(left[chosen] == left[of_first]) & (right[chosen] == right[of_first])]
+        uses = np.bincount(slot[chosen], minlength=1 << bits)
+        replaced = chosen[uses[slot[chosen]] >= least]
+        keep = np.zeros(n + 1, bool)
+        if len(replaced):
+            used = np.flatnonzero(uses >= least)
+            rules.append(np.stack([left[first[used]], right[first[used]]], axis=1))
+            name = np.zeros(1 << bits, np.uint32)
+            name[used] = np.arange(named, named + len(used))
+            named += len(used)
+            place, gone = at[replaced], following[replaced]
+            symbols[place] = name[slot[replaced]]
+            after[place] = after[gone]
+            before[after[place]] = place
+            before[n] = n
+            live[gone] = False
+            keep[at] = keep[place] = keep[before[place]] = True
+        else:
+            # Exact counts; a pair that overlaps itself is given up, or else the one that nothing hinders.
+            _, which, exact = np.unique(left.astype(np.uint64) << np.uint64(32) | right, return_inverse=True, return_counts=True)
+            rare = exact[which] < least
+            if not rare.any():
+                rare[chosen[left[chosen] == right[chosen]]] = True
+                rare[chosen[weight[chosen] == weight[chosen].max()]] = True
+            keep[at[~rare]] = True
+        at = np.flatnonzero(keep & live & (after < n)).astype(np.int32)
+    live = live[:n]
+    return symbols[:n][live], np.append(0, np.cumsum(live))[ends], base, np.concatenate(rules)
+
+
+def _levels(base: int, rules: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Stretches of rules whose symbols are all known before the stretch."""
+    highest, at = rules.max(axis=1, initial=0).astype(np.int64), 0
+    while at < len(rules):
+        later = np.flatnonzero(highest[at:] >= base + at)
+        to = at + int(later[0]) if len(later) else len(rules)
+        if to == at:
+            raise ValueError("a rule stands before its symbols")
+        yield at, to
+        at = to
 
 
 def expansion_lengths(base: int, rules: np.ndarray) -> np.ndarray:
     """Ids that each nonterminal stands for."""
-    out = np.ones(len(rules), np.int64)
-    for k, (a, b) in enumerate(rules.tolist()):
-        out[k] = (1 if a < base else out[a - base]) + (1 if b < base else out[b - base])
-    return out
+    out = np.ones(base + len(rules), np.int64)
+    for a, b in _levels(base, rules):
+        out[base + a : base + b] = out[rules[a:b]].sum(axis=1)
+    return out[base:]
 
 
 class Expander:
     """Symbols of one shard back to ids."""
 
     def __init__(self, base: int, rules: np.ndarray, lengths: np.ndarray):
-        strings: list[np.ndarray] = []
-        of = lambda s: strings[s - base] if s >= base else np.array([s], np.uint32)
-        for a, b in rules.tolist():
-            strings.append(np.concatenate([of(a), of(b)]))
-        self.table = np.concatenate([np.arange(base, dtype=np.uint32), *strings])
         self.lengths = np.concatenate([np.ones(base, np.int64), lengths.astype(np.int64)])
         self.offsets = np.cumsum(self.lengths) - self.lengths
+        self.table = np.zeros(int(self.lengths.sum()), np.uint32)
+        self.table[:base] = np.arange(base)
+        for a, b in _levels(base, rules):
+            at = self.offsets[base + a]
+            found = self.expand(rules[a:b].reshape(-1))
+            self.table[at : at + len(found)] = found
 
     def expand(self, symbols: np.ndarray) -> np.ndarray:
         lengths = self.lengths[symbols]
@@ -121,16 +158,15 @@ class Expander:
         return self.table[np.repeat(self.offsets[symbols] - (ends - lengths), lengths) + np.arange(total)]
 
 
-def write_shard(doc_ids: list[int | None], documents: list[bytes], rounds: int = ROUNDS, pairs: int = PAIRS_PER_ROUND, least: int = LEAST_USES) -> bytes:
-    """A shard's bytes, from packed ids of documents in order."""
-    tokens = np.array([len(d) // 4 for d in documents], np.int64)
-    symbols, ends, base, rules = compress(np.frombuffer(b"".join(documents), "<u4"), np.cumsum(tokens), rounds, pairs, least)
+def write_shard(doc_ids: list[int | None], ids: np.ndarray, tokens: np.ndarray, least: int = LEAST_USES) -> bytes:
+    """A shard's bytes, from the ids of documents in order and the number of each document's."""
+    symbols, ends, base, rules = compress(ids, np.cumsum(tokens), least)
     wide = base + len(rules) > 1 << 16
     known = np.array([i is not None for i in doc_ids], np.uint8)
-    ids = np.array([i or 0 for i in doc_ids], "<i8")
+    numbers = np.array([i or 0 for i in doc_ids], "<i8")
     starts = np.r_[0, ends].astype("<i8")
     header = _HEADER.pack(_MAGIC, len(doc_ids), len(rules), base, len(symbols), wide)
-    return b"".join([header, known.tobytes(), ids.tobytes(), starts.tobytes(), tokens.astype("<i8").tobytes(), rules.astype("<u4").tobytes(), expansion_lengths(base, rules).astype("<u4").tobytes(), symbols.astype("<u4" if wide else "<u2").tobytes()])
+    return b"".join([header, known.tobytes(), numbers.tobytes(), starts.tobytes(), np.asarray(tokens, "<i8").tobytes(), rules.astype("<u4").tobytes(), expansion_lengths(base, rules).astype("<u4").tobytes(), symbols.astype("<u4" if wide else "<u2").tobytes()])
 
 
 def read_shard(data: bytes) -> Shard:
@@ -160,28 +196,36 @@ def write_shards(docs: DataFrame, vocabulary: str = WORD_BPE, end_id: int = 2, s
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end = encoder(vocabulary, False).encode, int(end_id).to_bytes(4, "little")
-        ids: list[int | None] = []
-        documents: list[bytes] = []
+        numbers: list[int | None] = []
+        ids: list[np.ndarray] = []
+        tokens: list[np.ndarray] = []
         part, shard, size = 0, 0, 0
 
         def out() -> pa.RecordBatch:
-            data = write_shard(ids, documents)
-            return pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "shard": pa.array([shard], pa.int32()), "n_docs": pa.array([len(ids)], pa.int64()), "n_tokens": pa.array([size], pa.int64()), "data": pa.array([data], pa.binary())})
+            data = write_shard(numbers, np.concatenate(ids), np.concatenate(tokens))
+            return pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "shard": pa.array([shard], pa.int32()), "n_docs": pa.array([len(numbers)], pa.int64()), "n_tokens": pa.array([size], pa.int64()), "data": pa.array([data], pa.binary())})
 
-        for batch in slices(batches, "text", 2 << 20):
+        for batch in slices(batches, "text", ENCODED_BYTES):
             part = batch.column("part")[0].as_py()
-            for doc_id, packed in zip(batch.column("doc_id").to_pylist(), encode([t or "" for t in batch.column("text").to_pylist()]), strict=True):
-                ids.append(doc_id)
-                documents.append(packed + end)
-                size += len(packed) // 4 + 1
+            found, bounds = encoder(vocabulary).encode(*flat_bytes(batch.column("text")), end_id)
+            of_batch = batch.column("doc_id").to_pylist()
+            at = 0
+            while at < len(of_batch):  # documents up to the one that fills the shard
+                to = min(len(of_batch), int(np.searchsorted(bounds, bounds[at] + shard_tokens - size)))
+                numbers += of_batch[at:to]
+                ids.append(found[bounds[at] : bounds[to]])
+                tokens.append(np.diff(bounds[at : to + 1]))
+                size += int(bounds[to] - bounds[at])
                 if size >= shard_tokens:
                     yield out()
-                    ids, documents, shard, size = [], [], shard + 1, 0
-        if ids:
+                    numbers, ids, tokens, shard, size = [], [], [], shard + 1, 0
+                at = to
+        if numbers:
             yield out()
 
-    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("tie")).repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie")
+    # The last key parts equal rows, of which there may be very many.
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"), F.xxhash64("text").alias("tie"), F.monotonically_increasing_id().alias("row"))
+    ordered = rows.repartitionByRange("doc_id", "tie", "row").sortWithinPartitions("doc_id", "tie", "row")
     written = ordered.select("doc_id", "text", F.spark_partition_id().alias("part")).mapInArrow(run, "part int, shard int, n_docs long, n_tokens long, data binary")
     return staged(written, "repair")
 
