@@ -1,16 +1,21 @@
 """License scans with DataFrame functions alone.
 
-Texts that hold none of a few keywords are passed over.  For the others, each
-signature rule whose own keyword occurs is matched as a regular expression, and
-every match is a detection: an interval with the rule's label and priority.  Of
+Texts whose words hold none of a few gates are passed over; a gate is a stretch of
+words that every match of its rules has, worked out from the patterns themselves.
+For the others, each signature rule whose own keyword occurs is matched as a
+regular expression on the text with single spaces, so that line ends do not
+matter, and every match is a detection: an interval with the rule's label and priority.  Of
 two detections one of which contains the other, the one of better priority
 stays, of equal priority the longer, and of equal intervals the earlier rule.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from dataclasses import dataclass
+from re import _constants as constants
+from re import _parser as parser
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -24,7 +29,8 @@ _V = r",? ?(?:version |v\.? ?)?"
 # License names: label, keyword that must occur, signature of the name, and of its address or "".
 NAMES = (
     ("mit", "mit", r"\bmit(?: / ?x11)? licen[cs]e", r"opensource\.org/licenses?/mit\b"),
-    ("mit-0", "mit", r"\bmit(?: no attribution|-0)\b", r"opensource\.org/licenses?/mit-0"),
+    ("mit-0", "mit-0", r"\bmit-0\b", r"opensource\.org/licenses?/mit-0"),
+    ("mit-0", "mit no attribution", r"\bmit no attribution\b", ""),
     ("x11", "x11", r"\bx11 licen[cs]e", ""),
     ("isc", "isc", r"\bisc licen[cs]e", r"opensource\.org/licenses?/isc"),
     ("apache-1.0", "apache", rf"\bapache(?: software)? licen[cs]e{_V}1\.0", r"apache\.org/licenses/license-1\.0"),
@@ -68,7 +74,7 @@ NAMES = (
     ("wtfpl", "wtfpl", r"\bwtfpl\b", r"wtfpl\.net"),
     ("zlib", "zlib", r"\bzlib(?:/libpng)? licen[cs]e", r"opensource\.org/licenses?/zlib"),
     ("libpng", "libpng", r"\blibpng licen[cs]e", ""),
-    ("python-2.0", "python", r"\bpython (?:software foundation )?licen[cs]e", r"docs\.python\.org/[^ ]*license"),
+    ("python-2.0", "python", r"\bpython (?:software foundation )?licen[cs]e", r"docs\.python\.org/[^ ]{0,200}license"),
     ("php-3.01", "php", rf"\bphp licen[cs]e(?:{_V}3\.01)?", r"php\.net/license"),
     ("ruby", "ruby", r"\bruby licen[cs]e", ""),
     ("openssl", "openssl", r"\bopenssl licen[cs]e", r"openssl\.org/source/license"),
@@ -124,8 +130,10 @@ CLAUSES = (
     ("unknown-license", "licensed under", r"\blicensed under [^.\n]{2,60}", 0.3),
     ("unknown-license", "licence", r"\bunder (?:the|an?) [a-z0-9 .-]{2,40}? licence\b", 0.3),
 )
-#: Texts without any of these hold no detection: every rule's signature needs one of them.
-GATE = ("licen[cs]e", "copyright", "©", "spdx", "rights? reserved", "public domain", "creative ?commons", "opensource", "unlicense", "permission", "redistribut", "warranty", "proprietary", "unauthorized", r"\b(?:cc|gpl|bsd|mit|apache|lgpl|agpl|cddl|wtfpl|cecill|openrail|0bsd)", r"\.(?:org|com|co|net|eu|info)/", "advertising materials", "neither the name", "machine-executable", "eupl", "invariant sections", "free software", "source code form", "reproduc", "unencumbered")
+#: Words, one stretch of which every match of a rule holds; a rule goes by the first that its pattern or keyword has.
+GATES = ("spdx license identifier", "commons", "apache", "gnu org", "mozilla", "eclipse", "opensource", "licen", "bsd", "gpl", "cc by", "cc0", "mit 0", "mit no attribution", "public domain", "cddl", "copyright", "\u00a9", "reserved", "warranty", "permission", "redistribut", "proprietary", "unauthorized", "may be reproduced", "wtfpl", "cecill", "openrail", "eupl", "mariadb", "sil org", "opendatacommons", "invariant", "contributors", "advertising", "as is", "machine executable", "unencumbered", "limitations")
+#: No match is longer than this many characters, so detections further apart cannot nest.
+LONGEST = 1024
 
 
 @dataclass(frozen=True)
@@ -161,11 +169,47 @@ def rules() -> list[Rule]:
     return found
 
 
+def in_words(text: str) -> str:
+    """The text with single spaces for all stretches of ASCII that are neither letters nor digits."""
+    return re.sub(r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", " ", text)
+
+
+def _needed(nodes) -> list[str]:
+    """Stretches of words that every match of a parsed pattern holds."""
+    found, run = [], ""
+    for kind, value in nodes:
+        if kind is constants.LITERAL:
+            run += chr(value)
+        elif kind is constants.IN and all(k is constants.LITERAL and in_words(chr(c)) == " " for k, c in value):
+            run += " "
+        elif kind is not constants.AT:
+            if kind is constants.SUBPATTERN or kind is constants.MAX_REPEAT and value[0] > 0:
+                found += _needed(value[-1])
+            found.append(run)
+            run = ""
+    return [in_words(x) for x in [*found, run] if x]
+
+
+def gate_of(rule: Rule) -> str:
+    """The first of GATES that the words of every text with a match of the rule hold."""
+    sure = [in_words(rule.keyword), *_needed(parser.parse(rule.pattern))]
+    return next(g for g in GATES if any(g in x for x in sure))
+
+
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
     """body of the value, which is computed once however often body uses it."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def lower_ascii(text: Column) -> Column:
+    """The text with A to Z in lower case.
+
+    Other letters may change case as well, which no phrase or signature can tell, but for the two
+    letters whose lower case has ASCII in it: texts with those go letter by letter.
+    """
+    return F.when(F.contains(text, F.lit("\u0130")) | F.contains(text, F.lit("\u212a")), F.translate(text, UPPER, LOWER)).otherwise(F.lower(text))
+
+
 def _all_starts(words: Column, phrase: str) -> Column:
     """Word positions at which the phrase's words stand consecutively."""
     first, *rest = phrase.split()
@@ -179,34 +223,72 @@ def _all_starts(words: Column, phrase: str) -> Column:
     return F.filter(F.transform(words, here), lambda i: i.isNotNull())
 
 
+_DETECTION = "struct<priority: int, number: int, label: string, start: int, end: int, weight: double>"
+#: Matches that are placed one after the other at a time, so that the cost of many does not grow with their square.
+_AT_ONCE = 128
+
+
 def _matches(text: Column, rule: Column) -> Column:
-    """A detection for every match of the rule, with its interval in code points."""
+    """A detection for every match of the rule, with its interval in code points (none: null)."""
 
-    def spans(hits: Column) -> Column:
-        pieces = F.split(text, rule["pattern"], -1)
+    def placed(sizes: Column) -> Column:
+        """The matches of some (gap before, length), counted from zero, and where the last ends."""
+
+        def step(state: Column, x: Column) -> Column:
+            start = state["at"] + x["gap"]
+            found = F.struct(rule["priority"].alias("priority"), rule["number"].alias("number"), rule["label"].alias("label"), start.alias("start"), (start + x["n"]).alias("end"), rule["weight"].alias("weight"))
+            return F.struct((start + x["n"]).alias("at"), F.concat(state["found"], F.array(found)).alias("found"))
+
+        return F.aggregate(sizes, F.struct(F.lit(0).alias("at"), F.expr(f"cast(array() as array<{_DETECTION}>)").alias("found")), step)
 
-        def step(state: Column, k: Column) -> Column:
-            start = state["at"] + F.char_length(F.get(pieces_, k))
-            end = start + F.char_length(F.get(hits, k))
-            return F.struct(end.alias("at"), F.concat(state["found"], F.array(F.struct(rule["priority"].alias("priority"), rule["number"].alias("number"), rule["label"].alias("label"), start.alias("start"), end.alias("end"), rule["weight"].alias("weight")))).alias("found"))
+    def moved(block: Column, by: Column) -> Column:
+        return F.transform(block["found"], lambda h: F.struct(h["priority"].alias("priority"), h["number"].alias("number"), h["label"].alias("label"), (h["start"] + by).alias("start"), (h["end"] + by).alias("end"), h["weight"].alias("weight")))
 
-        def fold(p: Column) -> Column:
-            nonlocal pieces_
-            pieces_ = p
-            none = F.expr("cast(array() as array<struct<priority: int, number: int, label: string, start: int, end: int, weight: double>>)")
-            return F.aggregate(F.sequence(F.lit(0), F.size(hits) - 1), F.struct(F.lit(0).alias("at"), none.alias("found")), step, lambda s: s["found"])
+    def chained(blocks: Column) -> Column:
+        def step(state: Column, block: Column) -> Column:
+            return F.struct((state["at"] + block["at"]).alias("at"), F.concat(state["found"], F.array(moved(block, state["at"]))).alias("found"))
 
-        pieces_: Column = pieces
-        return F.when(F.size(hits) > 0, _let(pieces, fold))
+        return F.aggregate(blocks, F.struct(F.lit(0).alias("at"), F.expr(f"cast(array() as array<array<{_DETECTION}>>)").alias("found")), step, lambda state: F.flatten(state["found"]))
+
+    def spans(hits: Column) -> Column:
+        def sized(pieces: Column) -> Column:
+            sizes = F.transform(hits, lambda h, k: F.struct(F.char_length(F.get(pieces, k)).alias("gap"), F.char_length(h).alias("n")))
+            return _let(sizes, lambda s: chained(F.transform(F.sequence(F.lit(0), F.floor((F.size(s) - 1) / _AT_ONCE).cast("int")), lambda b: placed(F.slice(s, b * _AT_ONCE + 1, F.lit(_AT_ONCE))))))
+
+        return F.when(F.size(hits) > 0, _let(F.split(text, rule["pattern"], -1), sized))
 
     return _let(F.regexp_extract_all(text, rule["pattern"], F.lit(0)), spans)
 
 
-def detections(text: Column) -> Column:
-    """The detections that stand, of a lower-case text with single spaces (null: none)."""
-    table = F.array(*[F.struct(F.lit(n).alias("number"), F.lit(r.label).alias("label"), F.lit(r.priority).alias("priority"), F.lit(r.keyword).alias("keyword"), F.lit(r.pattern).alias("pattern"), F.lit(r.weight).alias("weight")) for n, r in enumerate(rules())])
+def bounded(pattern: str) -> str:
+    """The pattern with its word edges spelt out, since what \\b takes for a letter differs between Java's versions."""
+    return re.sub(r"\\b(?=[0-9a-z(])", r"(?<![\\p{L}\\p{N}_])", pattern).replace(r"\b", r"(?![\p{L}\p{N}_])").replace(r"\d", "[0-9]")
+
+
+def rule_table() -> Column:
+    """The rules as a constant: by gate, then by keyword."""
+    grouped: dict[str, dict[str, list[Column]]] = {}
+    for n, r in enumerate(rules()):
+        row = F.struct(F.lit(n).alias("number"), F.lit(r.label).alias("label"), F.lit(r.priority).alias("priority"), F.lit(bounded(r.pattern)).alias("pattern"), F.lit(r.weight).alias("weight"))
+        grouped.setdefault(gate_of(r), {}).setdefault(r.keyword, []).append(row)
+    return F.array(*[F.struct(F.lit(gate).alias("gate"), F.array(*[F.struct(F.lit(word).alias("keyword"), F.array(*rows).alias("rules")) for word, rows in words.items()]).alias("words")) for gate, words in grouped.items()])
+
+
+def gated(words: Column) -> Column:
+    """Whether any rule can match a text of these words."""
+    found = F.lit(False)
+    for word in dict.fromkeys(gate_of(r) for r in rules()):
+        found = found | F.contains(words, F.lit(word))
+    return found
+
+
+def detections(text: Column, words: Column) -> Column:
+    """The detections that stand, of a lower-case text with single spaces (null: none) and its words."""
+    table = rule_table()
+
+    def stand(near: Column, mine: Callable[[Column], Column]) -> Column:
+        """Those of near that are mine and that no other of near beats."""
 
-    def resolve(hits: Column) -> Column:
         def beaten(h: Column) -> Column:
             def by(g: Column) -> Column:
                 inside = (g["start"] <= h["start"]) & (g["end"] >= h["end"])
@@ -215,12 +297,18 @@ def detections(text: Column) -> Column:
                 first = (g["end"] - g["start"] == h["end"] - h["start"]) & (g["number"] < h["number"])
                 return (inside | around) & ((g["priority"] < h["priority"]) | ((g["priority"] == h["priority"]) & (wider | first)))
 
-            return F.exists(hits, by)
+            return F.exists(near, by)
+
+        return F.filter(near, lambda h: mine(h) & ~beaten(h))
 
-        return F.filter(hits, lambda h: ~beaten(h))
+    def resolve(hits: Column) -> Column:
+        place = lambda h: F.floor(h["start"] / LONGEST)
+        stretches = F.array_distinct(F.transform(hits, place))
+        return F.flatten(F.transform(stretches, lambda k: _let(F.filter(hits, lambda h: F.abs(place(h) - k) <= 1), lambda near: stand(near, lambda h: place(h) == k))))
 
     def scan(t: Column) -> Column:
-        able = F.filter(table, lambda r: F.contains(t, r["keyword"]))
+        open_ = F.flatten(F.transform(F.filter(table, lambda g: F.contains(words, g["gate"])), lambda g: g["words"]))
+        able = F.flatten(F.transform(F.filter(open_, lambda w: F.contains(t, w["keyword"])), lambda w: w["rules"]))
         hits = F.flatten(F.filter(F.transform(able, lambda r: _matches(t, r)), lambda m: m.isNotNull()))
         return _let(hits, resolve)
 
@@ -230,23 +318,25 @@ def detections(text: Column) -> Column:
 def scan(docs: DataFrame) -> DataFrame:
     """(doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, detections) for every row.
 
-    Null and empty texts have no words, no labels and score 0; a null doc_id
-    stays null; repeated rows are returned once each; other columns are not read.
+    Null and empty texts have no words, no labels and score 0; very long texts are
+    read whole, and detections are compared with their neighbours only; a null
+    doc_id stays null; repeated rows are returned once each; other columns are not
+    read; an empty table gives no rows.
     """
-    lower = F.translate(F.coalesce("text", F.lit("")), UPPER, LOWER)
+    lower = lower_ascii(F.coalesce("text", F.lit("")))
     words = docs.select(F.col("doc_id").cast("long").alias("doc_id"), lower.alias("lower"))
     words = words.withColumn("norm", F.concat(F.lit(" "), F.trim(F.regexp_replace("lower", r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", " ")), F.lit(" ")))
     count = F.when(F.col("norm") == "  ", F.lit(0)).otherwise(F.octet_length("norm") - F.octet_length(F.replace(F.col("norm"), F.lit(" "), F.lit(""))) - 1)
     phrased = F.lit(False)
     for phrase, _ in PHRASES:
         phrased = phrased | F.contains("norm", F.lit(f" {phrase} "))
-    gated = F.when(F.col("lower").rlike("|".join(GATE)), F.regexp_replace("lower", r"\s+", " "))
+    flat = F.when(gated(F.col("norm")), F.regexp_replace("lower", r"\s+", " "))
     none = F.expr("cast(array() as array<array<bigint>>)")
     starts = F.when(phrased, _let(F.split(F.trim("norm"), " ", -1), lambda w: F.array(*[_all_starts(w, p) for p, _ in PHRASES]))).otherwise(none)
-    read = words.select("doc_id", count.cast("long").alias("n_words"), starts.alias("starts"), detections(gated).alias("detections"))
+    read = words.select("doc_id", count.cast("long").alias("n_words"), starts.alias("starts"), detections(flat, F.col("norm")).alias("detections"))
     places = F.flatten("starts")
     base = F.filter(F.array(*[F.when(F.size(F.coalesce(F.get("starts", F.lit(k)), F.expr("cast(array() as array<bigint>)"))) > 0, F.lit(label)) for k, (_, label) in enumerate(PHRASES)]), lambda x: x.isNotNull())
-    found = F.coalesce("detections", F.expr("cast(array() as array<struct<priority: int, number: int, label: string, start: int, end: int, weight: double>>)"))
+    found = F.coalesce("detections", F.expr(f"cast(array() as array<{_DETECTION}>)"))
     read = read.select("doc_id", "n_words", F.size(places).cast("long").alias("n_base"), F.array_min(places).alias("first_word"), F.array_max(places).alias("last_word"), base.alias("base"), found.alias("detections"))
     doubt = F.aggregate("detections", F.lit(1.0), lambda d, h: d * (1 - h["weight"])) * F.when(F.size("base") > 0, F.lit(0.5)).otherwise(F.lit(1.0))
     labels = F.array_sort(F.array_distinct(F.concat("base", F.transform("detections", lambda h: h["label"]))))
