@@ -2,26 +2,27 @@
 
 Captures are written as gzip members of WARC response and revisit records, and
 read back.  Every archive gives a run of index rows, sorted locally by URL key,
-time and page.  Sampled split keys cut each run into segments of key ranges; a
-range's segments from all runs meet in one task and go through a k-way
-loser-tree merge, which gives the capture histories in global order.  Split keys
-hold the page beside the URL and time, so a URL with very many captures is
-spread over several ranges.
+time and page; a task merges the runs of its archives into longer ones.  The rows
+of all runs are then dealt out to key ranges, where what a range got from each run
+is still sorted and goes through k-way loser-tree merges of bounded fan-in, pass
+by pass, which gives the capture histories in global order.  The ranges come from
+Spark's own sample and end with the place of a record, so that neither a URL with
+very many captures nor equal captures meet in one task.
 """
 
 from __future__ import annotations
 
 import base64
-import bisect
 import hashlib
-import io
 import math
 import zlib
 from collections.abc import Iterable, Iterator
 from datetime import UTC, datetime, timedelta
 from urllib.parse import quote, urlsplit
 
+import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,9 +30,11 @@ from weir.llm.common import slices, staged
 
 #: Compressed bytes after which an archive is closed.
 ARCHIVE_BYTES = 8 << 20
-#: Index rows aimed at in a range, and sampled keys for each range.
-RANGE_ROWS = 4_000
-SAMPLED = 16
+#: Index rows aimed at in a range, and runs that one merge takes at most.
+RANGE_ROWS = 10_000
+FAN_IN = 64
+#: Captures of one payload that meet in one task, as a share of all; there are at most as many larger payloads as that leaves room for.
+HOT_SHARE = 1 / 500
 #: Time of capture of page 0; page n was captured n seconds later.
 EPOCH = datetime(2024, 1, 1, tzinfo=UTC)
 
@@ -130,17 +133,22 @@ def write_archives(pages: DataFrame, archive_bytes: int = ARCHIVE_BYTES) -> Data
     """The written archives (archive, data) of pages (page_id, url, html; null html: empty)."""
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce(F.col("html").cast("binary"), F.lit(b"")).alias("html"))
     rows = rows.withColumn("digest", F.sha1("html"))
-    # The smallest page of each payload; partial sums leave one row a payload and task to shuffle.
-    first = rows.select("digest", "page_id").groupBy("digest").agg(F.min("page_id").alias("first"))
-    typed = rows.join(first, "digest").select("page_id", "url", "html", "first")
+    # The smallest page of each payload that occurs again; partial sums leave one row a payload and task to shuffle.
+    first = rows.select("digest", "page_id").groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1")
+    first = staged(first, "payloads")
+    most = max(1, math.ceil(pages.count() * HOT_SHARE))
+    hot = F.broadcast(first.where(F.col("n") > most).select("digest", F.ceil(F.col("n") / most).cast("int").alias("parts")))  # fewer than 1 / HOT_SHARE rows
+    salted = rows.join(hot, "digest", "left").withColumn("salt", F.coalesce(F.pmod(F.xxhash64("page_id", "url", F.monotonically_increasing_id()), "parts"), F.lit(0)))
+    parted = first.join(hot, "digest", "left").select("digest", "first", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("parts", F.lit(1)).cast("long") - 1)).alias("salt"))
+    typed = salted.join(parted.hint("shuffle_hash"), ["digest", "salt"], "left").select("page_id", "url", "html", "first")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         members: list[bytes] = []
-        size = 0
+        size = number = 0
+        part = TaskContext.get().partitionId()
 
         def out() -> pa.RecordBatch:
-            data = b"".join(members)
-            return pa.RecordBatch.from_pydict({"archive": [f"captures-{hashlib.sha1(data).hexdigest()[:20]}.warc.gz"], "data": pa.array([data], pa.binary())})
+            return pa.RecordBatch.from_pydict({"archive": [f"captures-{part:06d}-{number:06d}.warc.gz"], "data": pa.array([b"".join(members)], pa.binary())})
 
         for batch in slices(batches, "html"):
             for page_id, url, html, original in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "html", "first")), strict=True):
@@ -150,30 +158,28 @@ def write_archives(pages: DataFrame, archive_bytes: int = ARCHIVE_BYTES) -> Data
                 size += len(members[-1])
                 if size >= archive_bytes:
                     yield out()
-                    members, size = [], 0
+                    members, size, number = [], 0, number + 1
         if members:
             yield out()
 
     return staged(typed.mapInArrow(run, "archive string, data binary"), "warc")
 
 
-def _order(row: dict) -> tuple:
-    return row["urlkey"], row["capture_time"], row["page_id"] is not None, row["page_id"] or 0
+ROWS = pa.schema([("archive", pa.string()), ("offset", pa.int64()), ("length", pa.int64()), ("page_id", pa.int64()), ("urlkey", pa.string()), ("capture_time", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64())])
 
+RUN_ROWS = pa.schema([*ROWS, ("run", pa.string()), ("row", pa.int64())])
 
-def capture_runs(archives: DataFrame) -> DataFrame:
-    """Index rows of every archive, read back; each archive's rows are a run sorted by URL key, time and page."""
+#: What captures are ordered by; the last two tell captures of one page and moment apart.
+KEY = ("urlkey", "capture_time", "page_id", "archive", "offset")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "data"):
-            for name, data in zip(batch.column("archive").to_pylist(), batch.column("data").to_pylist(), strict=True):
-                rows = [{"archive": name, "offset": at, "length": n} | capture(headers, block) for at, n, headers, block in records(data)]
-                yield pa.RecordBatch.from_pylist(sorted(rows, key=_order), ROWS)
 
-    return staged(archives.mapInArrow(run, _INDEX), "runs")
+def _order(row: dict) -> tuple:
+    return row["urlkey"], row["capture_time"], row["page_id"] is not None, row["page_id"] or 0, row["archive"], row["offset"]
 
 
-ROWS = pa.schema([("archive", pa.string()), ("offset", pa.int64()), ("length", pa.int64()), ("page_id", pa.int64()), ("urlkey", pa.string()), ("capture_time", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64())])
+def _keys(table: pa.Table) -> list[tuple]:
+    url, time, page, archive, offset = (table.column(c).to_pylist() for c in KEY)
+    return [(u, t, p is not None, p or 0, a, o) for u, t, p, a, o in zip(url, time, page, archive, offset, strict=True)]
 
 
 class LoserTree:
@@ -214,45 +220,58 @@ class LoserTree:
             self._winner = now
 
 
-def merge_runs(runs: DataFrame, range_rows: int = RANGE_ROWS) -> DataFrame:
-    """Index rows in global order: by range, then by position inside it.
+def merged(runs: list[list], key, fan_in: int = FAN_IN) -> list:
+    """The items of sorted runs in order, by passes of merges of at most fan_in runs."""
+    while len(runs) > 1:
+        runs = [list(LoserTree(runs[i : i + fan_in], key)) for i in range(0, len(runs), fan_in)]
+    return runs[0] if runs else []
+
+
+def capture_runs(archives: DataFrame, fan_in: int = FAN_IN) -> DataFrame:
+    """Index rows of every archive, read back, with their run and row in it.
 
-    The driver sees SAMPLED keys for each range, as for any range partitioning.
+    Each archive's rows are sorted by URL key, time and page; up to fan_in archives of a task are merged into a run.
     """
-    key = ["urlkey", "capture_time", "page_id"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        read: list[list[dict]] = []
+
+        def out() -> pa.RecordBatch:
+            rows = merged(read, _order, fan_in)
+            table = pa.RecordBatch.from_pylist(rows, ROWS)
+            return pa.RecordBatch.from_arrays([*table.columns, pa.array([read[0][0]["archive"]] * len(rows), pa.string()), pa.array(range(len(rows)), pa.int64())], [*ROWS.names, "run", "row"])
+
+        for batch in slices(batches, "data"):
+            for name, data in zip(batch.column("archive").to_pylist(), batch.column("data").to_pylist(), strict=True):
+                read.append(sorted(({"archive": name, "offset": at, "length": n} | capture(headers, block) for at, n, headers, block in records(data)), key=_order))
+                if len(read) == fan_in:
+                    yield out()
+                    read = []
+        if read:
+            yield out()
+
+    return staged(archives.mapInArrow(run, f"{_INDEX}, run string, row long"), "runs")
+
+
+def merge_runs(runs: DataFrame, range_rows: int = RANGE_ROWS, fan_in: int = FAN_IN) -> DataFrame:
+    """Index rows in global order: by range, then by position inside it."""
     ranges = max(1, math.ceil(runs.count() / range_rows))
-    sample = runs.select(*key).orderBy(F.xxhash64(*key)).limit(SAMPLED * ranges).collect() if ranges > 1 else []
-    keys = sorted(_order(r.asDict()) for r in sample)
-    splits = sorted({keys[len(keys) * i // ranges] for i in range(1, ranges)}) if keys else []
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = batch.to_pylist()
-            out: dict[str, list] = {"range": [], "run": [], "segment": []}
-            at = 0
-            while at < len(rows):  # a run, or the part of one that this batch holds
-                to = next((i for i in range(at + 1, len(rows)) if rows[i]["archive"] != rows[at]["archive"]), len(rows))
-                mine = [_order(r) for r in rows[at:to]]
-                edges = [0, *(bisect.bisect_left(mine, s) for s in splits), len(mine)]
-                for number, (a, b) in enumerate(zip(edges, edges[1:], strict=False)):
-                    if a < b:
-                        sink = io.BytesIO()
-                        with pa.ipc.new_stream(sink, ROWS) as writer:
-                            writer.write_batch(pa.RecordBatch.from_pylist(rows[at + a : at + b], ROWS))
-                        for column, value in zip(out.values(), (number, f"{rows[at]['archive']}:{at}", sink.getvalue()), strict=True):
-                            column.append(value)
-                at = to
-            yield pa.RecordBatch.from_pydict({"range": pa.array(out["range"], pa.int32()), "run": pa.array(out["run"], pa.string()), "segment": pa.array(out["segment"], pa.binary())})
-
-    def merge(group: pa.Table) -> pa.Table:
-        group = group.sort_by("run")
-        segments = [pa.ipc.open_stream(s).read_all().to_pylist() for s in group.column("segment").to_pylist()]
-        rows = list(LoserTree(segments, _order))
-        table = pa.Table.from_pylist(rows, ROWS)
-        return table.append_column("range", pa.array([group.column("range")[0].as_py()] * len(rows), pa.int32())).append_column("position", pa.array(range(len(rows)), pa.int64()))
-
-    segments = runs.select(*ROWS.names).mapInArrow(cut, "range int, run string, segment binary")
-    return segments.groupBy("range").applyInArrow(merge, f"{_INDEX}, range int, position long")
+    dealt = runs.repartitionByRange(ranges, *KEY)
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = pa.Table.from_batches([b for b in batches if b.num_rows] or [], RUN_ROWS)
+        if not got.num_rows:
+            return
+        got = got.sort_by([("run", "ascending"), ("row", "ascending")]).combine_chunks()  # each run's rows together again, as they were
+        name = got.column("run").combine_chunks().dictionary_encode().indices.to_numpy()
+        keys = _keys(got)
+        order = merged([s.tolist() for s in np.split(np.arange(len(keys)), np.flatnonzero(np.diff(name)) + 1)], keys.__getitem__, fan_in)
+        n, number = len(order), TaskContext.get().partitionId()
+        table = got.select(ROWS.names).take(pa.array(order, pa.int64()))
+        table = table.append_column("range", pa.array(np.full(n, number, np.int32))).append_column("position", pa.array(np.arange(n)))
+        yield from table.to_batches(max_chunksize=10_000)
+
+    return dealt.mapInArrow(merge, f"{_INDEX}, range int, position long")
 
 
 def capture_histories(pages: DataFrame) -> DataFrame:
