@@ -13,6 +13,7 @@ import regex
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from weir.llm import catalogue, licenses, media, packing, repair, secrets, simhash, tokens, warc
@@ -197,11 +198,51 @@ def test_secrets_odd(odd, clashing, empty):
     ("sum D41D8CD98F00B204E9800998ECF8427E here", []),
     ("secret=token:abcdefghi", []),
     ("TOKEN: abcdef and PASSWD='x1x1x1x1'", ["assign", "assign"]),
+    ("key QxZkPwVbNmLsRtYcJhGf here", ["random"]),  # letters only
+    ("key QxZkPwVbNmLsRtYcJh1234 here", ["random"]),  # letters and a number are no identifier where the letters do not compress
+    ("anticonstitutionnellement Rechtsschutzversicherungsgesellschaften HTTPServerRequestHandlerFactory", []),
+    ("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", []),
+    ("connection-pool-size-2048 org/apache/commons/lang3 ----------------------", []),
 ])
 def test_secret_kinds(text, kinds):
     assert [secrets.KINDS[k] for _, k, _ in secrets.all_spans(text)] == kinds
 
 
+def test_secrets_random_is_the_brute_version(spark, sf_dir, documents):
+    """The random kind of every text of the table, each run held against all base spans, by the ratio alone."""
+    encode = tokens.rank_encoding(tokens.BYTE_RANKS).encode_ordinary
+    # The table's own secrets are all of the base kinds, so keys without a name are put into half the texts.
+    keyed = documents.withColumn("text", F.when(F.col("doc_id") % 2 == 0, F.concat("text", F.lit(" "), F.base64(F.unhex(F.md5(F.col("doc_id").cast("string")))), F.lit(" "), F.col("text"))).otherwise(F.col("text")))
+    want = {}
+    for doc_id, text in texts(keyed):
+        base = brute_secrets(text)
+        spans = []
+        for m in re.finditer(r"[A-Za-z0-9+/_-]{20,}={0,2}", text):
+            run = m[0]
+            if any(a <= m.start() and m.end() <= b for a, _, b in base) or not re.search("[A-Za-z]", run):
+                continue
+            if len(run) in (32, 40, 56, 64, 96, 128) and re.fullmatch("[0-9a-fA-F]+", run) or re.fullmatch("[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}", run):
+                continue
+            if len(run) / len(encode(run)) <= (2.0 if re.search("[0-9]", run) else 1.9):
+                spans.append(f"random:{m.start()}:{m.end()}")
+        want[doc_id] = spans
+    found = {r["doc_id"]: [s for s in r["spans"].split(",") if s.startswith("random")] for r in rows_of(secrets.scan(keyed))}
+    assert found == want and sum(map(len, want.values())) > 0.4 * len(want)
+
+
+@pytest.mark.parametrize("alphabet,least", [("0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", 0.98), ("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", 0.98), ("abcdefghijklmnopqrstuvwxyz", 0.9), ("0123456789abcdefghijklmnopqrstuvwxyz", 0.97)])
+def test_secrets_random_recall(alphabet, least):
+    draw = np.random.default_rng(9)
+    runs = ["".join(draw.choice(list(alphabet), n)) for n in (20, 24, 32, 44) for _ in range(200)]
+    assert np.mean([secrets.is_random(r) for r in runs]) >= least
+
+
+def test_secrets_in_one_long_text():
+    """Many spans in one text take time in proportion."""
+    text = "token=abcdef1234 Zx8Kq2LmN0pRtV5wYb7Cd9Ef " * 20_000
+    assert [sum(k == x for _, k, _ in secrets.all_spans(text)) for x in (0, 3)] == [20_000, 20_000]
+
+
 def check_media(found, docs):
     def payload(text):
         b = text.encode()
@@ -219,32 +260,71 @@ def test_media(spark, sf_dir, documents):
     check_media(rows_of(catalogue.op4_media_columns(spark, sf_dir)), texts(documents))
 
 
+def brute_pcm(tag, payload):
+    """Samples of a payload at the target rate, one by one."""
+    if tag == media.ADPCM:
+        pcm = [v for k in range(0, len(payload), 576) for v in scalar_adpcm(payload[k : k + 576])]
+    else:
+        pcm = [int((media.MULAW_PCM if tag == media.MULAW else media.ALAW_PCM)[b]) for b in payload]
+    rate, target = media.RATES[tag], media.TARGET_RATE
+    out, k = [], 0
+    while k * rate < len(pcm) * target:
+        at, part = divmod(k * rate, target)
+        out.append(pcm[at] + (pcm[min(at + 1, len(pcm) - 1)] - pcm[at]) * part // target)
+        k += 1
+    return np.array(out, "<i2").tobytes()
+
+
 def test_media_odd(odd, clashing, empty):
     check_media(rows_of(media.media_columns(odd)), texts(odd))
-    found = rows_of(media.media_columns(clashing, with_pcm=True))
-    check_media(found, texts(odd))
-    for r in found:
-        assert len(r["pcm"]) == 4 * r["payload_bytes"] and f"pcm_crc32={zlib.crc32(bytes(r['pcm']))}" in r["feature"]
     assert media.media_columns(empty).count() == 0
+    texts_of = {i: t for i, t in texts(odd) if i is not None and len(t) < 1000}
+    for tag in (None, media.MULAW, media.ALAW, media.ADPCM):
+        found = rows_of(media.media_columns(clashing, tag, with_pcm=True))
+        check_media(found, texts(odd))
+        assert {r["format"] for r in found} <= ({media.NAMES[tag]} if tag else set(media.NAMES.values()))
+        for r in found:
+            kind, rate, pcm = media.wav_payload(bytes(r["pcm"]))
+            assert (kind, rate) == (media.PCM, media.TARGET_RATE) and f"pcm_crc32={zlib.crc32(pcm)};" in r["feature"] and f"pcm_samples={len(pcm) // 2};" in r["feature"]
+            if r["doc_id"] in texts_of:
+                b = texts_of[r["doc_id"]].encode()
+                of = next(t for t, n in media.NAMES.items() if n == r["format"])
+                assert pcm == brute_pcm(of, b + b"\xff" * (max(576, -(-len(b) // 576) * 576) - len(b)))
+
+
+def test_media_formats_are_all_used(spark, sf_dir):
+    found = rows_of(catalogue.op4_media_columns(spark, sf_dir).groupBy("format").count())
+    assert {r["format"] for r in found} == set(media.NAMES.values()) and all(r["count"] > 10 for r in found)
+
+
+def test_media_decodes_by_the_file(spark):
+    """Files of other makers: the tag and rate in the header decide, a null file gives nulls."""
+    files = [(1, 2, media.wav(b"\x00\x80", media.MULAW, 16_000)), (2, 2, media.wav(b"\x00\x80", media.ALAW, 8000)), (3, 0, None)]
+    found = {r["doc_id"]: r for r in rows_of(media.with_features(media.decode(spark.createDataFrame(files, "doc_id long, n_bytes long, media binary")), with_pcm=True))}
+    assert np.frombuffer(media.wav_payload(bytes(found[1]["pcm"]))[2], "<i2").tolist() == [-32124]
+    assert np.frombuffer(media.wav_payload(bytes(found[2]["pcm"]))[2], "<i2").tolist() == [int(media.ALAW_PCM[0]), int(media.ALAW_PCM[128])]
+    assert found[3]["feature"] is None and found[3]["payload_bytes"] is None
+
+
+def scalar_adpcm(block):
+    value = int.from_bytes(bytes(block[:2]), "little", signed=True)
+    index, out = min(block[2], 88), [value]
+    for byte in block[4:]:
+        for code in (byte & 15, byte >> 4):
+            step = int(media.STEPS[index])
+            change = step >> 3
+            for bit, shift in ((4, 0), (2, 1), (1, 2)):
+                if code & bit:
+                    change += step >> shift
+            value = max(-32768, min(32767, value - change if code & 8 else value + change))
+            index = max(0, min(88, index + (-1, -1, -1, -1, 2, 4, 6, 8)[code & 7]))
+            out.append(value)
+    return out
 
 
 def test_adpcm_is_the_scalar_decoder():
     data = np.random.default_rng(4).integers(0, 256, (5, 64)).astype(np.uint8)
-    found = media.decode_adpcm(data)
-    for block, out in zip(data.tolist(), found.tolist(), strict=True):
-        value = int.from_bytes(bytes(block[:2]), "little", signed=True)
-        index, want = min(block[2], 88), [value]
-        for byte in block[4:]:
-            for code in (byte & 15, byte >> 4):
-                step = int(media.STEPS[index])
-                change = step >> 3
-                for bit, shift in ((4, 0), (2, 1), (1, 2)):
-                    if code & bit:
-                        change += step >> shift
-                value = max(-32768, min(32767, value - change if code & 8 else value + change))
-                index = max(0, min(88, index + (-1, -1, -1, -1, 2, 4, 6, 8)[code & 7]))
-                want.append(value)
-        assert out == want
+    assert media.decode_adpcm(data).tolist() == [scalar_adpcm(block) for block in data.tolist()]
 
 
 def test_g711_tables():
@@ -255,8 +335,10 @@ def test_g711_tables():
 
 
 def test_resampling_stays_inside_a_payload():
-    out = media.resample(np.array([0, 10, 100, 200], np.int16), np.array([0, 2, 2, 4]))
-    assert out.tolist() == [0, 5, 10, 10, 100, 150, 200, 200]
+    out, edges = media.resample(np.array([0, 10, 100, 200, 300], np.int16), np.array([0, 2, 2, 5]), 4000, 8000)
+    assert out.tolist() == [0, 5, 10, 10, 100, 150, 200, 250, 300, 300] and edges.tolist() == [0, 4, 4, 10]
+    out, edges = media.resample(np.array([0, 10, 20, 30, 7], np.int16), np.array([0, 4, 5]), 16_000, 8000)
+    assert out.tolist() == [0, 20, 7] and edges.tolist() == [0, 2, 3]
 
 
 def brute_fingerprint(text):
@@ -328,6 +410,50 @@ def test_simhash_links_in_crowded_buckets(spark, bucket_rows):
         assert {found.get(x, x) for x in signed} == {min(signed)}
 
 
+@pytest.mark.parametrize("tile", [4, 64, 256])
+def test_simhash_tiles_are_the_brute_version(documents, tile):
+    """Every link inside the buckets of the table's own fingerprints comes from a tile pair, and far counts are skipped."""
+    fps = np.unique(np.array([brute_fingerprint(t) for _, t in texts(documents)], np.uint64))
+    near = np.bitwise_count(fps[:, None] ^ fps[None, :]) <= 2
+    for buckets in (np.zeros(len(fps), np.int64), (fps >> np.uint64(58)).astype(np.int64), np.arange(len(fps)) // 3):
+        order = np.argsort(buckets, kind="stable")
+        values = fps[order]
+        a, b, compared = simhash.bucket_links(values, buckets[order], 2, tile)
+        forest = simhash.Forest(len(fps))
+        forest.join(np.searchsorted(fps, a), np.searchsorted(fps, b))
+        x, y = np.nonzero(near & (buckets[:, None] == buckets[None, :]))
+        want = simhash.Forest(len(fps))
+        want.join(x, y)
+        # What else is joined is linked too, in another bucket of the same tile.
+        every = simhash.Forest(len(fps))
+        every.join(*np.nonzero(near))
+        assert (forest.least[x] == forest.least[y]).all() and (every.least[forest.least] == every.least).all()
+        tiles = -(-len(fps) // tile)
+        assert 0 < compared and (buckets.any() or tile > 4 or compared < 0.8 * tiles * (tiles + 1) / 2)
+    assert simhash.bucket_links(fps[:0], np.zeros(0, np.int64), 2)[2] == 0
+
+
+def test_simhash_links_between_sides():
+    draw = np.random.default_rng(3)
+    fps = np.unique(draw.integers(0, 1 << 10, 300).astype(np.uint64))
+    left, right = fps[::2], fps[1::2]
+    a, b = simhash.spanning_links(left, right, 2, 16)
+    got, want = simhash.Forest(len(fps)), simhash.Forest(len(fps))
+    got.join(np.searchsorted(fps, a), np.searchsorted(fps, b))
+    x, y = np.nonzero(np.bitwise_count(left[:, None] ^ right[None, :]) <= 2)
+    want.join(2 * x, 2 * y + 1)
+    assert (got.least == want.least).all()
+
+
+def test_one_of_each_with_clashing_columns(odd, clashing):
+    for table in (odd, clashing):
+        kept = simhash.one_of_each(table)
+        assert kept.columns == table.columns
+        assert sorted((r["doc_id"] for r in rows_of(kept)), key=lambda x: (x is not None, x)) == [1, 3, 5, 6, 7, 8]
+        redacted = secrets.redact(table)
+        assert redacted.columns == table.columns and redacted.count() == table.count()
+
+
 def test_components_of_a_chain(spark):
     edges = [(k, k + 1) for k in range(60)] + [(100, 101), (101, 100), (7, 7)]
     found = {r["node"]: r["root"] for r in rows_of(simhash.components(spark.createDataFrame(edges, "a long, b long")))}
@@ -483,15 +609,25 @@ def test_warc_odd(spark):
     same = "<p>same</p>"
     pages = [(3, "http://a.example.com/x", same), (1, "http://a.example.com/x", same), (2, "https://www.B.example.com:8080/?q=é", same), (2, "https://www.B.example.com:8080/?q=é", same), (4, None, None), (5, "not a url\r\nX: y", ""), (None, "http://a.example.com/", same), (None, None, "alone"), (7, "http://[bad", "é" * 100_000), (9, "", "a\r\n\r\nb")]
     pages += [(100 + k, "http://hot.example.com/", f"page {k}") for k in range(200)]
-    for extra in ((), ("digest", "first", "range", "archive", "data", "run")):
+    for extra in ((), ("digest", "first", "range", "archive", "data", "run", "salt", "parts", "n")):
         df = spark.createDataFrame(pages, "page_id long, url string, html string")
         for name in extra:
             df = df.withColumn(name, df["url"])
         archives = warc.write_archives(df, archive_bytes=2000)
-        check_warc(rows_of(warc.merge_runs(warc.capture_runs(archives), range_rows=20)), pages)
+        for fan_in in (2, 64):
+            check_warc(rows_of(warc.merge_runs(warc.capture_runs(archives, fan_in), 20, fan_in)), pages)
     assert warc.capture_histories(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_warc_of_one_payload(spark):
+    """A payload that all pages share is dealt to many tasks, and equal rows stay rows of their own."""
+    pages = [(k % 3000, f"http://h.example.com/{k % 7}", "same" if k % 10 else f"own {k}") for k in range(6000)] + [(None, "http://n.example.com/", "same")] * 500
+    found = rows_of(warc.merge_runs(warc.capture_runs(warc.write_archives(spark.createDataFrame(pages, "page_id long, url string, html string").repartition(5), archive_bytes=20_000)), 500, 3))
+    check_warc(found, pages)
+    sizes = np.bincount([r["range"] for r in found])
+    assert sizes.max() < 2000
+
+
 @pytest.mark.parametrize("k", [0, 1, 2, 3, 7, 16])
 def test_loser_tree(k):
     draw = np.random.default_rng(k)

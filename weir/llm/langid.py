@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weir.llm.common import flat_bytes, fresh, row_key, row_sums, slices, staged
+from weir.llm.common import flat_bytes, numbered, row_sums, slices, staged, without_rows
 
 LANGUAGES = ("de", "en", "es", "fr")
 #: Text in none of the languages: every trigram is as likely as any other.
@@ -187,11 +187,8 @@ def identify(docs: DataFrame, keys: list[str], declared: Column | None = None, a
 
 def accepted_rows(docs: DataFrame, declared: Column | None = None, address: Column | None = None, least: float = LEAST) -> DataFrame:
     """docs without the rows that identify() does not accept; all their columns stay."""
-    row = fresh(docs, "row")
-    keyed = docs.withColumn(row, row_key(docs, *docs.columns))
-    rejected = identify(keyed, [row], declared, address, least).where(~F.col("accepted")).select(row).distinct()
-    # Few rows as a rule: written first, their size decides how they are joined.
-    return keyed.join(staged(rejected, "rejected"), row, "left_anti").drop(row)
+    keyed, row = numbered(docs)
+    return without_rows(keyed, row, identify(keyed, [row], declared, address, least).where(~F.col("accepted")).select(row))
 
 
 def of_pages(pages: DataFrame) -> DataFrame:

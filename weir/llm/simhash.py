@@ -2,13 +2,13 @@
 
 Fingerprints within `radius` bits of each other agree on at least one of
 radius + 1 bands of bits, so the distinct fingerprints are dealt out by the
-value of each band, and compared exhaustively only inside such a bucket.  There
-they are ordered by population count and cut into tiles; a tile pair whose
-counts lie further apart than the radius is skipped, the others go through numpy
-exclusive-or and bit counts.  A bucket larger than `bucket_rows` is cut again by bands of its
-remaining bits, and after that by pairs of tiles, so that no task holds or
-compares an unbounded bucket.  Each task reports a spanning forest of its links,
-and components are found by alternating star contraction.
+value of each band, and compared exhaustively inside such a bucket.  Buckets are
+ordered by population count and packed or cut into tiles; a tile pair whose counts
+lie further apart than the radius is skipped, all others go through numpy
+exclusive-or and bit counts.  A bucket larger than `bucket_rows` is cut again by
+bands of its remaining bits, and after that by pairs of tiles, so that no task
+holds or compares an unbounded bucket.  Each task reports pairs that span its
+links, and components are found by alternating star contraction.
 """
 
 from __future__ import annotations
@@ -23,16 +23,15 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weir.llm.common import flat_bytes, fresh, row_key, slices, staged
+from weir.llm.common import flat_bytes, numbered, slices, staged, unstaged, without_rows
 
 SHINGLE_WORDS = 3
 SEED = 42
 RADIUS = 2
 #: Fingerprints of a bucket that one task compares whole.
 BUCKET_ROWS = 8192
-TILE = 1024
-#: Runs up to this long are compared by shifting, longer ones by tiles.
-SHORT_RUN = 64
+#: Fingerprints of a tile.
+TILE = 256
 #: Keys of large buckets that may be broadcast (some tens of MB); beyond, they are joined by a shuffle.
 BROADCAST_KEYS = 200_000
 
@@ -72,40 +71,89 @@ def fingerprints(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, seed: int
     return rows.mapInArrow(run, "doc_id long, fp long, carried long")
 
 
+class Forest:
+    """Connected components of numbered nodes, each named by its least node."""
+
+    def __init__(self, nodes: int):
+        self.least = np.arange(nodes)
+
+    def join(self, x: np.ndarray, y: np.ndarray) -> None:
+        """Adds links between nodes x and y."""
+        while True:
+            a, b = self.least[x], self.least[y]
+            apart = a != b
+            if not apart.any():
+                return
+            x, y, a, b = x[apart], y[apart], a[apart], b[apart]
+            np.minimum.at(self.least, np.maximum(a, b), np.minimum(a, b))
+            while (further := self.least[self.least]).tobytes() != self.least.tobytes():
+                self.least = further
+
+    def links(self, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(value, value of its component's least node) for all other nodes."""
+        other = np.flatnonzero(self.least != np.arange(len(values)))
+        return values[other], values[self.least[other]]
+
+
+def compare_tiles(forest: Forest, left: np.ndarray, at_left: np.ndarray, right: np.ndarray, at_right: np.ndarray, radius: int, tile: int = TILE) -> int:
+    """Links nodes at_left and at_right whose fingerprints are within the radius, tile by tile; gives the tile pairs compared.
+
+    Both sides are in order of population count; a tile pair whose counts lie further apart than the radius is skipped.
+    """
+    counts = np.bitwise_count(left).astype(np.int64), np.bitwise_count(right).astype(np.int64)
+    compared = 0
+    for i in range(0, len(left), tile):
+        low, high = counts[0][i], counts[0][min(i + tile, len(left)) - 1]
+        first = int(np.searchsorted(counts[1], low - radius)) // tile * tile
+        last = int(np.searchsorted(counts[1], high + radius, side="right"))
+        for j in range(max(first, i) if left is right else first, last, tile):
+            x, y = np.nonzero(np.bitwise_count(left[i : i + tile, None] ^ right[None, j : j + tile]) <= radius)
+            forest.join(at_left[i + x], at_right[j + y])
+            compared += 1
+    return compared
+
+
 def spanning_links(left: np.ndarray, right: np.ndarray, radius: int, tile: int = TILE) -> tuple[np.ndarray, np.ndarray]:
-    """Links between left and right that connect what all their links within the radius connect.
+    """Pairs that connect what all links within the radius between left and right connect.
 
     The same array twice: links inside it.  Arrays are unsigned and distinct.
     """
-    same = left is right
-    values = left if same else np.concatenate([left, right])
-    parent = list(range(len(values)))
-
-    def find(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    def by_count(array: np.ndarray, base: int) -> list[tuple[np.ndarray, np.ndarray, int, int]]:
-        counts = np.bitwise_count(array)
-        order = np.argsort(counts, kind="stable")
-        return [(array[o], o + base, int(counts[o[0]]), int(counts[o[-1]])) for o in (order[i : i + tile] for i in range(0, len(order), tile))]
-
-    found: list[tuple[int, int]] = []
-    tiles = by_count(left, 0)
-    others = tiles if same else by_count(right, len(left))
-    for i, (a, at_a, low_a, high_a) in enumerate(tiles):
-        for b, at_b, low_b, high_b in others[i:] if same else others:
-            if low_b - high_a > radius or low_a - high_b > radius:
-                continue
-            for x, y in np.argwhere(np.bitwise_count(a[:, None] ^ b[None, :]) <= radius).tolist():
-                u, v = find(int(at_a[x])), find(int(at_b[y]))
-                if u != v:
-                    parent[max(u, v)] = min(u, v)
-                    found.append((int(at_a[x]), int(at_b[y])))
-    pairs = np.array(found, np.int64).reshape(-1, 2)
-    return values[pairs[:, 0]], values[pairs[:, 1]]
+    values = left if left is right else np.concatenate([left, right])
+    forest = Forest(len(values))
+    at = np.argsort(np.bitwise_count(left), kind="stable")
+    if left is right:
+        left = left[at]
+        compare_tiles(forest, left, at, left, at, radius, tile)
+    else:
+        of_right = np.argsort(np.bitwise_count(right), kind="stable")
+        compare_tiles(forest, left[at], at, right[of_right], of_right + len(left), radius, tile)
+    return forest.links(values)
+
+
+def bucket_links(values: np.ndarray, buckets: np.ndarray, radius: int, tile: int = TILE) -> tuple[np.ndarray, np.ndarray, int]:
+    """Pairs that connect what links inside buckets connect (buckets in order), and the tile pairs compared.
+
+    Buckets are laid end to end, each in order of population count, and packed into tiles: a tile is compared
+    with itself, whatever buckets it holds, and a bucket that runs over several tiles with the tiles of its own.
+    """
+    order = np.lexsort((np.bitwise_count(values), buckets))
+    values, buckets = values[order], buckets[order]
+    forest = Forest(len(values))
+    starts = np.flatnonzero(np.append(True, buckets[1:] != buckets[:-1])) if len(values) else np.zeros(0, np.int64)
+    ends = np.append(starts[1:], len(values))
+    compared = at = k = 0
+    while k < len(starts):
+        if ends[k] - starts[k] > tile:
+            to, k = ends[k], k + 1
+        else:
+            k = max(k + 1, int(np.searchsorted(ends, at + tile, side="right")))
+            to = ends[k - 1]
+        nodes = np.arange(at, to)
+        nodes = nodes[np.argsort(np.bitwise_count(values[at:to]), kind="stable")]
+        packed = values[nodes]
+        compared += compare_tiles(forest, packed, nodes, packed, nodes, radius, tile)
+        at = to
+    return *forest.links(values), compared
 
 
 def _bands(n: int, among: list[int]) -> list[list[int]]:
@@ -119,23 +167,6 @@ def _mask(bits: list[int]) -> int:
     return m - (1 << 64) if m >> 63 else m
 
 
-def _pairs_in_runs(values: np.ndarray, run: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links inside runs of equal `run`: short runs by shifted comparison, long ones by tiles."""
-    starts = np.flatnonzero(np.r_[True, run[1:] != run[:-1]]) if len(run) else np.zeros(0, np.int64)
-    sizes = np.diff(np.r_[starts, len(run)])
-    left, right = [], []
-    for at, n in zip(starts[sizes > SHORT_RUN], sizes[sizes > SHORT_RUN], strict=True):
-        tile = values[at : at + n]
-        for side, found in zip((left, right), spanning_links(tile, tile, radius), strict=True):
-            side.append(found)
-    short = np.repeat(sizes <= SHORT_RUN, sizes)
-    for shift in range(1, int(min(SHORT_RUN, sizes.max(initial=1)))):
-        near = np.flatnonzero((run[shift:] == run[:-shift]) & short[shift:] & (np.bitwise_count(values[shift:] ^ values[:-shift]) <= radius))
-        left.append(values[near])
-        right.append(values[near + shift])
-    return (np.concatenate(left), np.concatenate(right)) if left else (values[:0], values[:0])
-
-
 def _bucket_links(table: DataFrame, keys: list[str], radius: int) -> DataFrame:
     """(a, b): links inside buckets of equal keys, each of which fits a task."""
     dealt = table.select("fp", F.xxhash64(*keys).alias("bucket")).repartition("bucket").sortWithinPartitions("bucket", "fp")
@@ -144,7 +175,7 @@ def _bucket_links(table: DataFrame, keys: list[str], radius: int) -> DataFrame:
         kept_values, kept_buckets = np.zeros(0, np.uint64), np.zeros(0, np.int64)
 
         def out(values: np.ndarray, buckets: np.ndarray) -> pa.RecordBatch:
-            a, b = _pairs_in_runs(values, buckets, radius)
+            a, b, _ = bucket_links(values, buckets, radius)
             return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
 
         for batch in batches:
@@ -224,8 +255,9 @@ def components(edges: DataFrame) -> DataFrame:
         # Small star: a node and its smaller neighbours go to the smallest of them.
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*").where("a <> b").distinct()
-        now = staged(small, "links")
+        last, now = now, staged(small, "links")
         after = summary(now)
+        unstaged(edges.sparkSession, last)
         if after == before:
             break
         before = after
@@ -254,11 +286,12 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle_words: int =
 
 def one_of_each(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """docs with one row of each component: that of the smallest doc_id, and of repeated rows one."""
-    row = fresh(docs, "row")
-    keyed = docs.withColumn(row, row_key(docs, *docs.columns))
+    keyed, row = numbered(docs)
     groups = near_duplicates(keyed, radius, carry=F.col(row))
-    kept = groups.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", F.col("carried").alias(row))).alias("k")).select(F.col("k")[row].alias(row))
-    return keyed.join(kept, row, "left_semi").dropDuplicates([row]).drop(row)
+    # The partial sums leave one row a component and task, however large a component is.
+    kept = groups.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "carried")).alias("k")).select("root", F.col("k.carried").alias("kept"))
+    rejected = groups.join(kept, "root").where("carried <> kept").select(F.col("carried").alias(row))
+    return without_rows(keyed, row, rejected)
 
 
 def as_hex(fp: Column) -> Column:
