@@ -1,10 +1,11 @@
 """Secret scans: fixed patterns, and strings that a vocabulary cannot shorten.
 
-Beside three fixed kinds, runs of key characters with both letters and digits are
-encoded with a tiktoken vocabulary.  Words compress to several characters a
-token; random strings do not, so a low ratio of characters to tokens exposes
-them.  Digests of known lengths, UUIDs, dates, versions and readable identifiers
-are excluded first.
+Beside three fixed kinds, runs of key characters with letters are encoded with a
+tiktoken vocabulary.  Words compress to several characters a token; random strings
+do not, so a low ratio of characters to tokens exposes them.  Digests of known
+lengths, UUIDs, numbers, alphabets and identifiers whose own words compress are
+excluded first.  Runs without a digit, which prose and code have more of, must
+compress less still.
 """
 
 from __future__ import annotations
@@ -22,9 +23,12 @@ from weir.llm.common import slices
 from weir.llm.tokens import BYTE_RANKS, rank_encoding
 
 KINDS = ("assign", "access", "hex", "random")
-#: Shortest run that is tested, and the characters a token at or below which it is random.
+#: Shortest run that is tested, and the characters a token at or below which it is random, without a digit by a stricter limit.
 RANDOM_CHARS = 20
 RANDOM_RATIO = 2.0
+LETTERS_RATIO = 1.9
+#: Runs up to this long are remembered.
+REMEMBERED_CHARS = 256
 
 # Fixed patterns of the base kinds: a match counts from the least length on.
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -38,19 +42,39 @@ _RUN = re.compile(r"[A-Za-z0-9+/_-]{20,}={0,2}")
 _DIGEST_CHARS = (32, 40, 56, 64, 96, 128)
 _KNOWN = re.compile(
     r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}"  # UUID
-    r"|[0-9+/_-]+"  # numbers, dates
-    r"|[A-Za-z]{2,}(?:[-_/+][A-Za-z]{2,}|[-_/+]?\d{1,4}(?![A-Za-z0-9]))*"  # words joined, with a number or year
+    r"|[^A-Za-z]+"  # numbers, dates, rules
     r"|(?:sha(?:1|224|256|384|512)|md5)-[A-Za-z0-9+/=]+",  # named digests
 )
+# Words joined, with a number or year after a word.
+_IDENTIFIER = re.compile(r"[A-Za-z]{2,}(?:[-_/+][A-Za-z]{2,}|[-_/+]?\d{1,4}(?![A-Za-z0-9]))*")
+_LETTERS = re.compile(r"[A-Za-z]+")
 
 
-@lru_cache(maxsize=65_536)
-def _is_random(run: str, ranks: str, ratio: float) -> bool:
-    if not any(c.isdigit() for c in run) or not any(c.isalpha() for c in run):
-        return False
+def _known(run: str, encode) -> bool:
+    """Whether a run is a digest of known kind, a number, an alphabet or a readable identifier."""
     if _KNOWN.fullmatch(run) or len(run) in _DIGEST_CHARS and not run.strip("0123456789abcdefABCDEF"):
+        return True
+    if 2 * sum(ord(b) == ord(a) + 1 for a, b in zip(run, run[1:], strict=False)) > len(run):  # most characters follow the one before
+        return True
+    if not _IDENTIFIER.fullmatch(run):
         return False
-    return len(run) <= ratio * len(rank_encoding(ranks).encode_ordinary(run))
+    words = _LETTERS.findall(run)
+    return sum(map(len, words)) > LETTERS_RATIO * sum(len(encode(w)) for w in words)
+
+
+def _tested(run: str, ranks: str, ratio: float) -> bool:
+    encode = rank_encoding(ranks).encode_ordinary
+    if _known(run, encode):
+        return False
+    return len(run) <= (ratio if any(c.isdigit() for c in run) else min(ratio, LETTERS_RATIO)) * len(encode(run))
+
+
+_remembered = lru_cache(maxsize=65_536)(_tested)
+
+
+def is_random(run: str, ranks: str = BYTE_RANKS, ratio: float = RANDOM_RATIO) -> bool:
+    """Whether the vocabulary cannot shorten a run that is nothing known."""
+    return (_remembered if len(run) <= REMEMBERED_CHARS else _tested)(run, ranks, ratio)
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -66,9 +90,12 @@ def all_spans(text: str, ranks: str = BYTE_RANKS, chars: int = RANDOM_CHARS, rat
     """Base spans, and random strings that no base span covers."""
     base = base_spans(text)
     found = list(base)
+    at, furthest = 0, -1  # base spans that begin before a run, and the furthest end of those
     for m in _RUN.finditer(text):
         start, end = m.span()
-        if end - start >= chars and not any(a <= start and end <= b for a, _, b in base) and _is_random(m[0], ranks, ratio):
+        while at < len(base) and base[at][0] <= start:
+            furthest, at = max(furthest, base[at][2]), at + 1
+        if end - start >= chars and end > furthest and is_random(m[0], ranks, ratio):
             found.append((start, 3, end))
     return sorted(found)
 
@@ -92,8 +119,9 @@ def redacted(text: str, spans: list[tuple[int, int, int]], mark: str = "[SECRET]
 def scan(docs: DataFrame, ranks: str = BYTE_RANKS, chars: int = RANDOM_CHARS, ratio: float = RANDOM_RATIO) -> DataFrame:
     """(doc_id, n_assign, n_access, n_hex, n_random, base_sha256, spans) for every row.
 
-    Null and empty texts have no spans; a null doc_id stays null; repeated rows
-    are returned once each; other columns are not read.
+    Null and empty texts have no spans; very long texts are scanned whole, in time
+    proportional to their length; a null doc_id stays null; repeated rows are
+    returned once each; other columns are not read; an empty table gives no rows.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -111,7 +139,11 @@ def scan(docs: DataFrame, ranks: str = BYTE_RANKS, chars: int = RANDOM_CHARS, ra
 
 
 def redact(docs: DataFrame, ranks: str = BYTE_RANKS, chars: int = RANDOM_CHARS, ratio: float = RANDOM_RATIO) -> DataFrame:
-    """docs with every span in text replaced by a mark and n_chars counted anew; nulls stay null."""
+    """docs with every span in text replaced by a mark and n_chars counted anew.
+
+    Null texts stay null; empty and very long texts, repeated rows and other
+    columns, whatever their names, stay as they are; an empty table stays empty.
+    """
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
