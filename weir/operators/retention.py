@@ -1,38 +1,53 @@
 """Bounded retention: what a drop-oldest ring or spool holds after all rows have gone through it.
 
 Both have a closed form over newest-first running sums, so nothing is simulated.
-Running sums over one global order are taken in two levels: inside buckets of the
-order column, and over the buckets' totals.
+Running sums over one global order are taken in two levels: inside ranges of the
+order columns, as many as the session's shuffles have partitions, and over the
+ranges' totals.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Iterator, Sequence
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
+
+from weir.staging import staged
 
 RING_ENTRIES = 10_000
 RING_BYTES = 4 << 20
 SPOOL_BYTES = 100 << 20
-#: Ranges of the order for global running sums, and rows sampled for each range's edge.
-RANGES, SAMPLED = 32, 64
 
 
-def running(df: DataFrame, by: str, value: str, into: str, descending: bool = False, ranges: int = RANGES) -> DataFrame:
-    """Adds the running sum of `value` in the order of `by` (unique, not null), over the whole table.
+def running(df: DataFrame, by: str | Sequence[str | Column], value: str, into: str, descending: bool = False) -> DataFrame:
+    """Adds the running sum of `value` (whole numbers; null: 0) in the order of `by` (unique), over the whole table.
 
-    Edges of ranges come from a bounded sample; a row's range depends on its own
-    value alone, so that both passes over df agree.
+    One range partitioning, whose ranges Spark samples, sorts the rows; each range
+    is summed as a stream and written, so that both levels see the same ranges.
     """
-    sample = sorted(r[0] for r in df.select(by).orderBy(F.xxhash64(by)).limit(ranges * SAMPLED).collect())
-    edges = sorted({sample[len(sample) * k // ranges] for k in range(1, ranges)}) if len(sample) > ranges else []
-    bucket = sum(((F.col(by) >= F.lit(e)).cast("int") for e in edges), F.lit(0))
-    df = df.withColumn("_bucket", -bucket if descending else bucket)
-    order = F.col(by).desc() if descending else F.col(by).asc()
-    totals = df.groupBy("_bucket").agg(F.sum(value).alias("_total"))
+    order = [F.col(c) if isinstance(c, str) else c for c in ([by] if isinstance(by, str | Column) else by)]
+    order = [c.desc() for c in order] if descending else order
+    columns = df.columns
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, total = TaskContext.get().partitionId(), 0
+        for batch in batches:
+            sums = np.cumsum(pc.fill_null(batch.column(columns.index(value)), 0).to_numpy(zero_copy_only=False).astype(np.int64)) + total
+            total = int(sums[-1]) if len(sums) else total
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sums), pa.array(np.full(len(sums), part, np.int32))], [*columns, into, "_range"])
+
+    schema = StructType([*df.schema.fields, StructField(into, LongType()), StructField("_range", IntegerType())])
+    ranged = staged(df.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(summed, schema), "running")
+    totals = ranged.groupBy("_range").agg(F.coalesce(F.sum(value), F.lit(0)).cast("bigint").alias("_total"))
     # One row a range, so a single task orders them, and they are broadcast.
-    before = totals.select("_bucket", (F.sum("_total").over(Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_total")).alias("_before"))
-    inside = F.sum(value).over(Window.partitionBy("_bucket").orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
-    return df.withColumn(into, inside).join(F.broadcast(before), "_bucket").withColumn(into, F.col(into) + F.col("_before")).drop("_bucket", "_before")
+    before = totals.select("_range", (F.sum("_total").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_total")).alias("_before"))
+    return ranged.join(F.broadcast(before), "_range").withColumn(into, F.col(into) + F.coalesce("_before", F.lit(0))).drop("_range", "_before")
 
 
 def ring(df: DataFrame, seq: str, max_entries: int = RING_ENTRIES, max_bytes: int = 0, cost: str | None = None) -> DataFrame:
