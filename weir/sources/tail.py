@@ -1,11 +1,13 @@
 """A streaming source that follows a growing local file.
 
-Registered as format "weir_tail".  Offsets are {inode, position}: only finished
-lines are taken, so a line written in parts is one record (a last line without
-end is taken once the file has been rotated away).  A file that has been replaced
-is read from its start, one that has shrunk too; what was not yet read of a
-rotated file is looked for beside it by inode.  Lines are cut to max_line_bytes
-and flagged.
+Registered as format "weir_tail".  Offsets are {inode, position, skipping}: only
+finished records are taken, so one written in parts is one record (a last one
+without end is taken once the file has been rotated away).  Records end with a
+line feed, or with a blank line for journal exports (framing "blank").  A file
+that has been replaced is read from its start, one that has shrunk too; what was
+not yet read of a rotated file is looked for beside it by inode.  Records are cut
+to max_line_bytes and flagged; of one that does not end within a batch the first
+bytes are given and the rest is passed over, whatever its size.
 """
 
 from __future__ import annotations
@@ -58,67 +60,82 @@ def by_inode(path: str, inode: int) -> str | None:
     return None
 
 
-def cut_lines(data: bytes, limit: int) -> Iterator[tuple[bytes, bool]]:
-    """(line without its line feed, truncated) of data that ends with a line."""
-    for line in data.split(b"\n")[:-1] if data.endswith(b"\n") else data.split(b"\n"):
-        yield line[:limit], len(line) >= limit
-
-
-def _finished(path: str, position: int, most: int) -> bytes:
-    """Bytes from position to the end of the last finished line in the next `most`; a longer line is taken whole."""
-    with open(path, "rb") as file:
-        file.seek(position)
-        data = file.read(most)
-        end = data.rfind(b"\n") + 1
-        while not end and len(data) and (more := file.read(most)):
-            at = more.find(b"\n") + 1
-            data, end = data + more, len(data) + at if at else 0
-        return data[:end]
+def cut_lines(data: bytes, limit: int, separator: bytes = b"\n") -> Iterator[tuple[bytes, bool]]:
+    """(record without its end, truncated) of data that ends with a record; blank ones between blank lines are none."""
+    for record in data.removesuffix(separator).split(separator):
+        if separator != b"\n":
+            record = record.strip(b"\r\n")
+            if not record:
+                continue
+        yield record[:limit], len(record) >= limit
 
 
 class TailReader(SimpleDataSourceStreamReader):
     def __init__(self, options: dict[str, str]):
         self.path = options["path"]
         self.limit = int(options.get("max_line_bytes", MAX_LINE_BYTES))
-        self.batch = int(options.get("batch_bytes", BATCH_BYTES))
+        self.batch = max(int(options.get("batch_bytes", BATCH_BYTES)), self.limit + 2)
         self.from_beginning = options.get("startingoffsets", options.get("startingOffsets", "latest")) == "earliest"
         self.follow = options.get("follow_symlinks", "false").lower() == "true"
+        self.separator = b"\n\n" if options.get("framing", "line") == "blank" else b"\n"
 
     def initialOffset(self) -> dict:
         return start_offset(self.path, None, self.from_beginning, self.follow)
 
-    def _rows(self, data: bytes) -> list[tuple[bytes, bool]]:
-        return list(cut_lines(data, self.limit))
+    def _step(self, path: str, position: int, skipping: bool, most: int, whole: bool = False) -> tuple[list[tuple[bytes, bool]], int, bool]:
+        """(records, position, skipping) after at most `most` bytes; whole: an unfinished last record counts."""
+        with open(path, "rb") as file:
+            file.seek(position)
+            data = file.read(most)
+        if skipping:  # the rest of a record whose first bytes have been given
+            end = data.find(self.separator)
+            if end < 0:
+                kept = 0 if whole else len(self.separator) - 1  # its end may be cut in two
+                return [], position + max(0, len(data) - kept), not (whole and len(data) < most)
+            position, data = position + end + len(self.separator), data[end + len(self.separator) :]
+            return [], position, False
+        end = data.rfind(self.separator) + len(self.separator)
+        if end < len(self.separator):
+            if len(data) >= most:
+                return [(data[: self.limit], True)], position + len(data) - len(self.separator) + 1, True
+            end = len(data) if whole else 0
+        return list(cut_lines(data[:end], self.limit, self.separator)) if end else [], position + end, False
 
     def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
-        inode, position = start["inode"], start["position"]
+        inode, position, skipping = start["inode"], start["position"], bool(start.get("skipping"))
         now = start_offset(self.path, start, False, self.follow)
-        data = b""
-        if inode and inode != now["inode"]:  # rotated: first what is left of the old file
-            old = by_inode(self.path, inode)
-            if old:
-                data = _finished(old, position, self.batch)
-                if not data:
-                    with open(old, "rb") as file:
-                        file.seek(position)
-                        data = file.read()
-            if data:
-                return iter(self._rows(data)), {"inode": inode, "position": position + len(data)}
+
+        def taken(path: str, of: int, at: int, skip: bool, whole: bool = False) -> tuple[Iterator[tuple], dict]:
+            rows, to, skip = self._step(path, at, skip, self.batch, whole)
+            if not rows and to > at and not skip:  # the end of a skipped record; what follows it is for now too
+                rows, to, skip = self._step(path, to, False, self.batch, whole)
+            return iter(rows), {"inode": of, "position": to} | ({"skipping": True} if skip else {})
+
+        if inode and inode != now["inode"] and (old := by_inode(self.path, inode)):  # rotated: first what is left of the old file
+            rows, end = taken(old, inode, position, skipping)
+            if end["position"] == position:
+                rows, end = taken(old, inode, position, skipping, whole=True)
+            if end["position"] > position:
+                return rows, end
         if not now["inode"]:
             return iter([]), start
-        at = now["position"] if now["inode"] == inode else 0
-        if os.path.exists(self.path):
-            data = _finished(self.path, at, self.batch)
-        return iter(self._rows(data)), {"inode": now["inode"], "position": at + len(data)}
+        same = now["inode"] == inode and now["position"] == position
+        if not os.path.exists(self.path):
+            return iter([]), start
+        return taken(self.path, now["inode"], now["position"] if now["inode"] == inode else 0, skipping and same)
 
     def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:
-        begin = start["position"] if start["inode"] == end["inode"] and start["position"] <= end["position"] else 0
+        same = start["inode"] == end["inode"] and start["position"] <= end["position"]
+        position, skipping = (start["position"], bool(start.get("skipping"))) if same else (0, False)
         path = by_inode(self.path, end["inode"])
         if path is None:
             raise Fatal(f"the file of inode {end['inode']} is gone from beside {self.path}")
-        with open(path, "rb") as file:
-            file.seek(begin)
-            return iter(self._rows(file.read(end["position"] - begin)))
+        while position < end["position"]:
+            rows, to, skipping = self._step(path, position, skipping, min(self.batch, end["position"] - position), whole=end["position"] - position < self.batch and not end.get("skipping"))
+            if to == position:
+                return
+            yield from rows
+            position = to
 
 
 class TailSource(DataSource):
