@@ -1,7 +1,9 @@
 """Language ID, quality, decontamination and the pipeline: brute force, recall and held-out accuracy."""
 
 import math
+import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -45,7 +47,9 @@ def brute_languages(rows):
         best = names[int(np.argmax(scores))] if g else langid.UNKNOWN
         host = (address or "").lower().split("//")[-1].split("/")[0]
         said = None if not declared else declared if declared in langid.LANGUAGES else "other"
-        read.append((key, scores, best, said, host, ".".join(host.split(".")[-2:]), host.split(".")[-1] if "." in host else ""))
+        labels = host.split(".")
+        registered = 3 if len(labels) > 2 and len(labels[-1]) == 2 and labels[-2] in langid.REGISTRIES else 2
+        read.append((key, scores, best, said, host, ".".join(labels[-registered:]), labels[-1] if "." in host else ""))
     n = {x: sum(r[2] == x for r in read) for x in names}
     overall = {x: (n[x] + 1) / (len(read) + len(names)) for x in names}
     overall[langid.UNKNOWN] = max(overall[langid.UNKNOWN], langid.UNKNOWN_SHARE)
@@ -81,6 +85,41 @@ def test_language_is_the_brute_version(spark, sf_dir, documents):
         assert found[key]["posterior"] == pytest.approx(posterior, abs=1e-4)
 
 
+def check_languages(found, rows, key):
+    want = brute_languages(rows)
+    got = {r[key]: r for r in found}
+    assert set(got) == set(want) and len(found) == len(rows)
+    for k, (language, posterior, text_language) in want.items():
+        assert (got[k]["language"], got[k]["text_language"]) == (language, text_language), k
+        assert got[k]["posterior"] == pytest.approx(posterior, abs=1e-4)
+        assert got[k]["accepted"] == (language != langid.UNKNOWN and got[k]["posterior"] >= langid.LEAST)
+
+
+def test_language_query_is_the_brute_version(spark, sf_dir, documents):
+    """The query over its whole table."""
+    check_languages(rows_of(catalogue.op1_language_id(spark, sf_dir)), [(r["doc_id"], r["text"], r["lang"], r["source"]) for r in documents.collect()], "doc_id")
+
+
+def test_language_of_pages_is_the_brute_version(spark, sf_dir):
+    rows = []
+    for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect():
+        html = r["html"] or ""
+        said = re.search(r"<html\b[^>]*?\blang\s*=\s*[\"']?([a-z]{2,3})", html, re.I)
+        text = re.sub(r"<[^>]*>", " ", re.sub(r"<(script|style)\b.*?</\1\s*>", " ", html, flags=re.I | re.S))
+        rows.append((r["page_id"], text, said and said[1].lower(), r["url"]))
+    found = rows_of(catalogue.language_id_pages(spark, sf_dir))
+    check_languages(found, rows, "page_id")
+    assert sum(r["language"] == d for r, (_, _, d, _) in zip(sorted(found, key=lambda r: r["page_id"]), sorted(rows), strict=True) if d) > 0.9 * len(rows)
+
+
+def test_language_domains(spark):
+    """A registered name, not the registry it stands under."""
+    hosts = {"a.b.co.uk": "b.co.uk", "b.co.uk": "b.co.uk", "co.uk": "co.uk", "www.x.com": "x.com", "x.com": "x.com", "a.x.com.de": "x.com.de", "co.com": "co.com", "localhost": "localhost", "": "", "a.b.org.museum": "org.museum"}
+    docs = spark.createDataFrame([(h, "") for h in hosts], "address string, text string")
+    found = {r["address"]: r["domain"] for r in langid.evidence(docs, F.lit(None), F.col("address")).collect()}
+    assert found == hosts
+
+
 def test_language_held_out(documents):
     """Text alone names the language of documents whose declaration it was not taught."""
     hidden = documents.withColumn("declared", F.when(F.col("doc_id") % 2 == 0, F.col("lang")))
@@ -146,6 +185,77 @@ def test_quality_odd(spark, odd, clashing, empty):
     assert len(rows_of(quality.scores(odd, labels.limit(0)))) == 11
 
 
+def plain_statistics(text):
+    """STATISTICS of one text, in plain Python."""
+    data = text.encode()
+    if not data:
+        return [0.0] * len(quality.STATISTICS)
+    n, lines, words = len(data), data.split(b"\n"), data.split()
+    share = lambda members: sum(b in members for b in data) / n
+    out = {
+        "chars": math.log1p(n), "upper": share(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"), "digits": share(b"0123456789"), "symbols": share(b"#$%&*@^~<>{}[]\\_=+`"), "stops": share(b".,;:!?"), "bars": share(b"|"), "spaces": share(b" \t\n\r\x0b\x0c"), "high_bytes": share(range(128, 256)),
+        "runs": sum(a == b for a, b in zip(data, data[1:], strict=False)) / n, "lines": math.log1p(len(lines)), "line_length": math.log1p(n / len(lines)), "repeated_lines": 1 - len(set(lines)) / len(lines),
+        "entropy": -sum(c / n * math.log2(c / n) for c in Counter(data).values()), "word_length": 0.0, "distinct_words": 0.0, "top_word": 0.0, "long_words": 0.0, "marked_words": 0.0,
+    }
+    if words:
+        often = Counter(words)
+        out |= {"word_length": math.log1p(sum(map(len, words)) / len(words)), "distinct_words": len(often) / len(words), "top_word": max(often.values()) / len(words), "long_words": sum(len(w) > 14 for w in words) / len(words), "marked_words": sum(w[-1] in b"#$%&*!@^~|" for w in words) / len(words)}
+    return [out[k] for k in quality.STATISTICS]
+
+
+def brute_quality(docs, labels):
+    """Scores of (id, text) by one process: all rows' statistics, one least-squares solution, one isotonic fit."""
+    stats = np.array([plain_statistics(t or "") for _, t in docs]).astype(np.float32).astype(float)
+    mean, spread = stats.mean(axis=0), stats.std(axis=0)
+    draw = np.random.default_rng(6)
+    directions = draw.normal(size=(stats.shape[1], quality.COSINES)) / quality.WIDTH
+    phases = draw.uniform(0, 2 * math.pi, quality.COSINES)
+    z = np.clip((stats - mean) / np.where(spread > 1e-6, spread, 1), -8, 8)
+    x = np.hstack([np.cos(z @ directions + phases) * math.sqrt(2 / quality.COSINES), np.ones((len(z), 1))])
+    row = {i: k for k, (i, _) in enumerate(docs)}
+    fold = lambda i: zlib.crc32(str(i).encode()) % 5
+    marks = [(row[i], q, fold(i)) for i, q in labels if i in row and fold(i)]
+    a = np.array([x[k] for k, _, f in marks if f != 1])
+    y = np.array([float(q) for _, q, f in marks if f != 1])
+    # Ridge as least squares with rows for the penalty; the constant is all but free.
+    penalty = np.sqrt(np.append(np.full(quality.COSINES, quality.RIDGE * len(a)), 1e-9 * len(a)))
+    weights = np.linalg.lstsq(np.vstack([a, np.diag(penalty)]), np.append(y, np.zeros(len(penalty))), rcond=None)[0]
+    raw = x @ weights
+    bins = {}
+    for k, q, f in marks:
+        if f == 1:
+            bins.setdefault(min(max(int((raw[k] + 0.5) / 2 * quality.BINS), 0), quality.BINS - 1), []).append(q)
+    order = sorted(bins)
+    shares, sizes = [np.mean(bins[b]) for b in order], [len(bins[b]) for b in order]
+    fit = [max(min(np.average(shares[i : j + 1], weights=sizes[i : j + 1]) for j in range(k, len(order))) for i in range(k + 1)) for k in range(len(order))]
+    groups = {}
+    for b, n, v in zip(order, sizes, fit, strict=True):
+        groups.setdefault(round(v, 12), []).append(((b + 0.5) * 2 / quality.BINS - 0.5, n))
+    points = [(-0.5, 0.0), *[(sum(c * n for c, n in g) / sum(n for _, n in g), v) for v, g in sorted(groups.items())], (1.5, 1.0)]
+    return {i: float(np.interp(raw[k], *zip(*points, strict=True))) for i, k in row.items()}
+
+
+def test_quality_is_the_brute_version(spark, sf_dir, documents):
+    """The query's scores over its whole table."""
+    docs = [(r["doc_id"], r["text"]) for r in documents.collect()]
+    labels = [(r["doc_id"], r["quality"]) for r in spark.read.parquet(f"{sf_dir}/labels.parquet").collect()]
+    found = {r["doc_id"]: r["score"] for r in rows_of(catalogue.op6_quality(spark, sf_dir))}
+    want = brute_quality(docs, labels)
+    assert set(found) == set(want)
+    apart = [abs(found[k] - want[k]) for k in want]
+    assert max(apart) < 1e-3, sorted(apart)[-3:]
+
+
+def test_features_approximate_the_gaussian_kernel():
+    draw = np.random.default_rng(2)
+    d, n = len(quality.STATISTICS), 4000
+    model = quality.Model(np.zeros(d), np.ones(d), draw.normal(size=(d, n)) / quality.WIDTH, draw.uniform(0, 2 * np.pi, n))
+    x = draw.normal(size=(20, d))
+    wave = model.cosines(x)[:, :-1]
+    kernel = np.exp(-((x[:, None] - x[None]) ** 2).sum(axis=2) / (2 * quality.WIDTH**2))
+    assert np.abs(wave @ wave.T - kernel).max() < 0.1
+
+
 @given(st.lists(st.tuples(st.floats(0, 1), st.floats(0.1, 5)), max_size=30))
 @settings(max_examples=60, deadline=None)
 def test_isotonic(pairs):
@@ -261,9 +371,41 @@ def test_leaks_are_the_brute_version(spark, sf_dir, documents):
     assert sorted(blocks, key=key) == sorted(found, key=key)
 
 
+def test_leaks_are_exhaustive_alignment(spark, sf_dir, documents):
+    """The query against the edit distance of every item to every document: nothing else, and nine in ten at least."""
+    items = [(r["item_id"], b" ".join(decontaminate.words_of(r["text"].encode()))) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
+    want = set()
+    for r in documents.collect():
+        text = b" ".join(decontaminate.words_of((r["text"] or "").encode()))
+        letters = Counter(text)
+        for item_id, item in items:
+            most = int(decontaminate.EDITS * len(item))
+            # A part of the text cannot hold letters that the whole has not.
+            if item in text or sum((Counter(item) - letters).values()) <= most and decontaminate.fewest_edits(item, text, most) <= most:
+                want.add((r["doc_id"], item_id))
+    found = {(r["doc_id"], r["item_id"]) for r in rows_of(catalogue.op7_decontamination(spark, sf_dir))}
+    assert found <= want and len(found) >= 0.9 * len(want) and want
+
+
+def test_items_of_few_words():
+    """Items of one to four words are found word for word, wherever they stand, and not inside other words."""
+    items = [b"Yes!", b"two words", b"two words", b"a b c d", b"... ?"]
+    prepared = decontaminate.prepare(list(enumerate(items)))
+    texts = [b"yes", b"yesterday two  WORDS, a b c d", b"two wordsmiths", b"", b"no two-words yes, yes"]
+    assert [(row, prepared.ids[k], edits, first, n) for row, k, edits, first, n in decontaminate.search(texts, prepared)] == [(0, 0, 0, 0, 1), (1, 1, 0, 1, 2), (1, 2, 0, 1, 2), (1, 3, 0, 3, 4), (4, 0, 0, 3, 1), (4, 1, 0, 1, 2), (4, 2, 0, 1, 2)]
+
+
+def test_items_that_repeat_themselves():
+    """A key that stands at very many places of item and text does not multiply."""
+    items = [b"ab " * 700, b"x" * 3000 + b" y z w v u", b"la la la la la la la la la la la la la la la la la la la la la la la la"]
+    prepared = decontaminate.prepare(list(enumerate(items)))
+    texts = [b"ab " * 9000, b"x" * 60_000 + b" y z w v u", b"other words " * 3000, b"so " + b"la " * 30 + b"end"]
+    assert {(row, k) for row, k, *_ in decontaminate.search(texts, prepared)} == {(0, 0), (1, 1), (3, 2)}
+
+
 def test_leaks_odd(spark, odd, clashing, empty):
     benchmark = spark.createDataFrame([(1, "two three four five six seven EIGHT!"), (1, "two three four five six seven EIGHT!"), (2, None), (None, "x y z a b c"), (3, ""), (4, "short one"), (5, "word the long and winding word the long")], "item_id long, text string")
-    want = [(None, 1), (1, 1), (1, 1), (2, 1), (5, 5)]
+    want = [(None, 1), (1, 1), (1, 1), (2, 1), (5, 5)]  # no text holds "short one"
     for table in (odd, clashing):
         found = rows_of(decontaminate.leaks(table, benchmark))
         assert sorted(((r["doc_id"], r["item_id"]) for r in found), key=lambda x: (x[0] is not None, x[0] or 0)) == want

@@ -2,67 +2,20 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weir.staging import shared_dir, staged, unstaged, written  # noqa: F401  (the operators take them from here)
+
 #: Bytes of text that one numpy step works on; it bounds a worker's memory.
 SLICE_BYTES = 4 << 20
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a local one where that is unset and the executors are in this process."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        where = f"file://{tempfile.mkdtemp(prefix='weir-')}"
-        spark.conf.set("spark.checkpoint.dir", where)
-    return where.rstrip("/")
-
-
-def staged(df: DataFrame, tag: str) -> DataFrame:
-    """df, written once to the shared folder and read again.
-
-    This cuts the lineage at a copy that outlives executors, so that several
-    consumers read it instead of computing it again.  unstaged() removes it.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/weir/{tag}-{uuid.uuid4().hex}"
-    _written.append(path)
-    df.write.option("compression", "zstd").parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out.staged_path = path
-    return out
-
-
-#: Folders written by staged() and not removed yet, oldest first.
-_written: list[str] = []
-
-
-def written() -> int:
-    """How many folders staged() has written and nothing has removed."""
-    return len(_written)
-
-
-def unstaged(spark: SparkSession, *frames: DataFrame, since: int | None = None, but: DataFrame | None = None) -> None:
-    """Removes staged tables that nobody will read again: the frames, and all written since that many but one."""
-    paths = [f.staged_path for f in frames] + (_written[since:] if since is not None else [])
-    for path in dict.fromkeys(paths):
-        if but is not None and path == but.staged_path:
-            continue
-        place = spark._jvm.org.apache.hadoop.fs.Path(path)
-        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
-        if path in _written:
-            _written.remove(path)
-
-
 def fresh(df: DataFrame, name: str) -> str:
     """A column name that df does not have."""
     taken = {c.lower() for c in df.columns}

@@ -35,6 +35,9 @@ LEAST = 0.5
 # Languages of country-code suffixes; they count STRENGTH rows.
 COUNTRY = {"de": "de", "at": "de", "li": "de", "fr": "fr", "es": "es", "mx": "es", "ar": "es", "cl": "es", "co": "es", "pe": "es", "uk": "en", "us": "en", "au": "en", "nz": "en", "ie": "en"}
 
+# Labels under which country-code suffixes register names, as in example.co.uk.
+REGISTRIES = ("ac", "asn", "co", "com", "edu", "gob", "gov", "gv", "id", "ltd", "me", "mil", "ne", "net", "nhs", "nom", "or", "org", "plc", "police", "sch")
+
 # Letters in lower case and bytes of other characters; all else separates words.
 _LETTERS = np.array([(b | 32 if 65 <= b <= 90 else b) if 65 <= b <= 90 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256)], np.uint8)
 
@@ -64,7 +67,7 @@ def evidence(docs: DataFrame, declared: Column, address: Column) -> DataFrame:
     return docs.withColumns({
         "declared": F.when(said.isin(*LANGUAGES), said).when(said != "", "other"),
         "host": host,
-        "domain": F.regexp_extract(host, r"([^.]+\.[^.]+|[^.]*)$", 1),
+        "domain": F.regexp_extract(host, rf"([^.]+\.(?:(?:{'|'.join(REGISTRIES)})\.[a-z][a-z]|[^.]+)|[^.]*)$", 1),
         "suffix": F.when(F.contains(host, F.lit(".")), F.regexp_extract(host, r"([^.]+)$", 1)).otherwise(""),
     })
 
@@ -153,8 +156,9 @@ def identify(docs: DataFrame, keys: list[str], declared: Column | None = None, a
     A row without letters rests on its declaration and address alone; without
     these too, on all rows' shares.  It is accepted where its language is known
     and its posterior at least `least`.  Null text counts as empty; null
-    declarations and addresses give no evidence; repeated rows are returned once
-    each; other columns are not read; an empty table gives no rows.
+    declarations and addresses give no evidence; very long texts are read whole;
+    repeated rows are returned once each; other columns are not read; an empty
+    table gives no rows.
     """
     names = [*LANGUAGES, UNKNOWN]
     declared = F.lit(None) if declared is None else declared
@@ -186,7 +190,7 @@ def identify(docs: DataFrame, keys: list[str], declared: Column | None = None, a
 
 
 def accepted_rows(docs: DataFrame, declared: Column | None = None, address: Column | None = None, least: float = LEAST) -> DataFrame:
-    """docs without the rows that identify() does not accept; all their columns stay."""
+    """docs without the rows that identify() does not accept; all their columns stay, whatever their names."""
     keyed, row = numbered(docs)
     return without_rows(keyed, row, identify(keyed, [row], declared, address, least).where(~F.col("accepted")).select(row))
 

@@ -146,6 +146,24 @@ def isotonic(low_to_high: np.ndarray, weights: np.ndarray) -> np.ndarray:
     return np.repeat([b[0] for b in blocks], [int(b[2]) for b in blocks])
 
 
+def calibration(raw: np.ndarray, counts: np.ndarray, good: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(raw scores, calibrated ones) between which is interpolated: the isotonic fit of the shares of good rows.
+
+    Each block of the fit stands at the mean raw score of its rows, so that scores go on rising inside a block;
+    beyond the outer blocks they rise towards 0 and 1.  Without any rows the raw score is kept.
+    """
+    there = counts > 0
+    if not there.any():
+        return np.array([0.0, 1.0]), np.array([0.0, 1.0])
+    level = isotonic(good[there] / counts[there], counts[there])
+    block = np.cumsum(np.append(0, np.diff(level) > 0))
+    weight = np.bincount(block, counts[there])
+    edges = np.bincount(block, counts[there] * raw[there]) / weight
+    values = level[np.flatnonzero(np.append(True, np.diff(level) > 0))]
+    low, high = min(-0.5, edges[0] - 1), max(1.5, edges[-1] + 1)
+    return np.concatenate([[low], edges, [high]]), np.concatenate([[0.0], values, [1.0]])
+
+
 def fit(table: DataFrame, labelled: DataFrame, seed: int = 6) -> Model:
     """A model from labelled (stats, label, fold) rows, standardised over the whole table (stats)."""
     d = len(STATISTICS)
@@ -180,14 +198,8 @@ def fit(table: DataFrame, labelled: DataFrame, seed: int = 6) -> Model:
         return np.stack([np.bincount(at, minlength=BINS).astype(np.float64), np.bincount(at, weights=y, minlength=BINS)])
 
     counts, good = _summed(labelled.where(F.col("fold") == CALIBRATION_FOLD).select("stats", "label"), binned, (2, BINS))
-    there = counts > 0
     centres = (np.arange(BINS) + 0.5) * 2 / BINS - 0.5
-    if there.any():
-        # A weak pull to the raw score settles bins of few rows.
-        level = (good[there] + np.clip(centres[there], 0, 1)) / (counts[there] + 1)
-        model.edges, model.values = centres[there], isotonic(level, counts[there])
-    else:
-        model.edges, model.values = np.array([0.0, 1.0]), np.array([0.0, 1.0])
+    model.edges, model.values = calibration(centres, counts, good)
     return model
 
 
@@ -201,9 +213,10 @@ def scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     Labels of fold 0 are never read; null labels and labels of no document count
     for nothing; a document labelled twice counts twice; without any labels the
-    score is zero.  Null and empty texts are scored from their (zero)
-    statistics; a null doc_id is held out; repeated rows are returned once each;
-    other columns are not read.
+    score is near zero.  Null and empty texts are scored from their (zero)
+    statistics, very long ones from those of the whole text; a null doc_id is held
+    out; repeated rows are returned once each; other columns are not read; an
+    empty table gives no rows.
     """
     table = staged(statistics_of(docs), "statistics")
     marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("label")).where("doc_id is not null and label is not null")
