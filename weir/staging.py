@@ -19,8 +19,8 @@ def shared_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
-def staged(df: DataFrame, tag: str) -> DataFrame:
-    """df, written once to the shared folder and read again.
+def staged(df: DataFrame, tag: str, level: int = 3) -> DataFrame:
+    """df, written once to the shared folder, compressed at the level, and read again.
 
     This cuts the lineage at a copy that outlives executors, so that several
     consumers read it instead of computing it again.  unstaged() removes it.
@@ -28,7 +28,7 @@ def staged(df: DataFrame, tag: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/weir/{tag}-{uuid.uuid4().hex}"
     _written.append(path)
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.options(**{"compression": "zstd", "parquet.compression.codec.zstd.level": level}).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.staged_path = path
     return out
