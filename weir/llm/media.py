@@ -1,9 +1,11 @@
 """Telephony audio as media columns: mu-law, A-law and ADPCM to resampled PCM.
 
-A payload of 8-bit samples is stored as a WAV file in a binary column.  Reading
-it back, mu-law and A-law bytes are expanded by lookup tables of 256 entries, and
-ADPCM blocks are decoded step by step with numpy, all blocks of a batch at once.
-The linear samples are resampled by linear interpolation inside each payload.
+A payload is stored as a WAV file in a binary column, in one of three formats that
+its own checksum draws unless one is asked for.  Read back, mu-law and A-law bytes
+are expanded by lookup tables of 256 entries, and ADPCM blocks are decoded step by
+step with numpy, all blocks of a slice at once.  The samples are resampled to one
+rate by linear interpolation inside each payload and stored as 16-bit PCM beside
+the media; features come from the PCM that is read back.
 """
 
 from __future__ import annotations
@@ -22,10 +24,17 @@ from weir.llm.common import flat_bytes, row_sums, slices, staged
 
 BLOCK = 576
 PAD = 255
-RATE = 8000
-RESAMPLE = 2
-# WAV format tags of 8-bit A-law and mu-law.
-ALAW, MULAW = 6, 7
+# WAV format tags of 16-bit PCM, 8-bit A-law and mu-law, and IMA ADPCM.
+PCM, ALAW, MULAW, ADPCM = 1, 6, 7, 17
+#: Formats that payloads are stored in, and samples a second of each: narrow and wide band.
+RATES = {MULAW: 8000, ALAW: 16_000, ADPCM: 16_000}
+NAMES = {MULAW: "mulaw", ALAW: "alaw", ADPCM: "adpcm"}
+#: Level at which stored files are compressed; it takes a tenth off the disk.
+STORED_LEVEL = 6
+#: Bytes of files that are decoded at once; their samples take many times that.
+DECODED_BYTES = 1 << 20
+#: Samples a second of the PCM.
+TARGET_RATE = 8000
 
 # IMA ADPCM index changes by the low three bits of a code.
 _INDEX_CHANGE = np.array([-1, -1, -1, -1, 2, 4, 6, 8] * 2, np.int32)
@@ -61,23 +70,27 @@ def alaw_table() -> np.ndarray:
 MULAW_PCM, ALAW_PCM = mulaw_table(), alaw_table()
 
 
-def wav(payload: bytes, tag: int = MULAW, rate: int = RATE) -> bytes:
-    """A mono WAV file with the payload as its 8-bit samples."""
-    chunks = b"fmt " + struct.pack("<IHHIIHHH", 18, tag, 1, rate, rate, 1, 8, 0) + b"fact" + struct.pack("<II", 4, len(payload)) + b"data" + struct.pack("<I", len(payload)) + payload + b"\0" * (len(payload) % 2)
+def wav(payload: bytes, tag: int, rate: int, block: int = BLOCK) -> bytes:
+    """A mono WAV file of the format that holds the payload as it is."""
+    align, bits, extra = {PCM: (2, 16, b""), ADPCM: (block, 4, struct.pack("<H", 2 * (block - 4) + 1))}.get(tag, (1, 8, b""))
+    samples = len(payload) // block * (2 * (block - 4) + 1) if tag == ADPCM else len(payload) // align
+    bytes_a_second = rate * block // (2 * (block - 4) + 1) if tag == ADPCM else rate * align
+    form = struct.pack("<HHIIHHH", tag, 1, rate, bytes_a_second, align, bits, len(extra)) + extra
+    chunks = b"fmt " + struct.pack("<I", len(form)) + form + b"fact" + struct.pack("<II", 4, samples) + b"data" + struct.pack("<I", len(payload)) + payload + b"\0" * (len(payload) % 2)
     return b"RIFF" + struct.pack("<I", 4 + len(chunks)) + b"WAVE" + chunks
 
 
-def wav_payload(media: bytes) -> tuple[int, bytes]:
-    """The format tag and samples of a WAV file."""
+def wav_payload(media: bytes) -> tuple[int, int, bytes]:
+    """The format tag, samples a second and payload of a WAV file."""
     if media[:4] != b"RIFF" or media[8:12] != b"WAVE":
         raise ValueError("not a WAV file")
-    at, tag = 12, 0
+    at, tag, rate = 12, 0, 0
     while at + 8 <= len(media):
         kind, size = media[at : at + 4], struct.unpack_from("<I", media, at + 4)[0]
         if kind == b"fmt ":
-            tag = struct.unpack_from("<H", media, at + 8)[0]
+            tag, _, rate = struct.unpack_from("<HHI", media, at + 8)
         elif kind == b"data":
-            return tag, media[at + 8 : at + 8 + size]
+            return tag, rate, media[at + 8 : at + 8 + size]
         at += 8 + size + size % 2
     raise ValueError("no data chunk")
 
@@ -104,85 +117,117 @@ def decode_adpcm(blocks: np.ndarray) -> np.ndarray:
     return out.T
 
 
-def resample(pcm: np.ndarray, offsets: np.ndarray, factor: int = RESAMPLE) -> np.ndarray:
-    """Samples between offsets at `factor` times the rate, by linear interpolation; the last is held."""
-    if not len(pcm):
-        return pcm.astype(np.int16)
-    after = np.r_[pcm[1:], pcm[-1:]].astype(np.int32)
-    last = offsets[1:][np.diff(offsets) > 0] - 1
-    after[last] = pcm[last]
-    pcm = pcm.astype(np.int32)
-    out = np.empty((len(pcm), factor), np.int16)
-    for k in range(factor):
-        out[:, k] = pcm + (after - pcm) * k // factor
-    return out.reshape(-1)
+def linear(tag: int, flat: np.ndarray, offsets: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray]:
+    """16-bit samples of payloads of one format, and their offsets."""
+    if tag == ADPCM:
+        return decode_adpcm(flat.reshape(-1, block)).reshape(-1), offsets // block * (2 * (block - 4) + 1)
+    return {MULAW: MULAW_PCM, ALAW: ALAW_PCM}[tag][flat], offsets
 
 
-def store(docs: DataFrame, tag: int = MULAW, block: int = BLOCK) -> DataFrame:
-    """(doc_id, n_bytes, media): texts as UTF-8, padded to a positive multiple of `block` and written as WAV files."""
+def resample(pcm: np.ndarray, offsets: np.ndarray, rate: int, target: int = TARGET_RATE) -> tuple[np.ndarray, np.ndarray]:
+    """Samples between offsets at another rate by linear interpolation, and their offsets; the last is held."""
+    if rate == target:
+        return pcm.astype(np.int16), offsets
+    counts = -(-np.diff(offsets) * target // rate)
+    ends = np.cumsum(counts)
+    if rate % target == 0:  # every sample falls on one of the old ones
+        at = np.arange(int(ends[-1]) if len(ends) else 0) * (rate // target)
+        at += np.repeat(offsets[:-1] - (ends - counts) * (rate // target), counts)
+        return pcm[at].astype(np.int16), np.append(0, ends)
+    place = (np.arange(int(ends[-1]) if len(ends) else 0) - np.repeat(ends - counts, counts)) * rate
+    at = place // target + np.repeat(offsets[:-1], counts)
+    after = np.minimum(at + 1, np.repeat(offsets[1:], counts) - 1)
+    low = pcm[at].astype(np.int64)
+    return (low + (pcm[after] - low) * (place % target) // target).astype(np.int16), np.append(0, ends)
+
+
+def store(docs: DataFrame, tag: int | None = None, block: int = BLOCK) -> DataFrame:
+    """(doc_id, n_bytes, media): texts as UTF-8, padded to a positive multiple of `block` and written as WAV files.
+
+    Without a tag, the payload's checksum draws one of the formats, so that equal texts have equal files.
+    """
+    tags = list(RATES) if tag is None else [tag]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             texts = [t or b"" for t in batch.column("text").to_pylist()]
-            media = [wav(t + bytes([PAD]) * (max(block, -(-len(t) // block) * block) - len(t)), tag) for t in texts]
+            payloads = [t + bytes([PAD]) * (max(block, -(-len(t) // block) * block) - len(t)) for t in texts]
+            drawn = [tags[zlib.crc32(p) % len(tags)] for p in payloads]
+            media = [wav(p, t, RATES[t], block) for p, t in zip(payloads, drawn, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(t) for t in texts], pa.int64()), pa.array(media, pa.binary())], ["doc_id", "n_bytes", "media"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    return staged(rows.mapInArrow(run, "doc_id long, n_bytes long, media binary"), "media")
-
-
-def _features(payloads: list[bytes], block: int, factor: int) -> tuple[list[str], list[bytes]]:
-    """Feature strings and resampled PCM of payloads."""
-    flat, offsets = flat_bytes(pa.array(payloads, pa.large_binary()))
-    mu, a = MULAW_PCM[flat], ALAW_PCM[flat]
-    blocks = offsets // block
-    adpcm = decode_adpcm(flat.reshape(-1, block)).astype(np.int32)
-    adpcm_level = row_sums(np.abs(adpcm).sum(axis=1, dtype=np.int64), blocks)
-    adpcm_peak = np.maximum.reduceat(np.abs(adpcm).max(axis=1), blocks[:-1])
-    n = np.diff(offsets)
-    levels = [row_sums(np.abs(x.astype(np.int32)), offsets) // n for x in (mu, a)]
-    crossings = row_sums(np.r_[(mu[1:] < 0) != (mu[:-1] < 0), False].astype(np.int64), offsets)
-    fine = memoryview(resample(mu, offsets, factor).astype("<i2", copy=False)).cast("B")
-    pcm = [fine[2 * factor * i : 2 * factor * j] for i, j in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
-    # A sign change onto the next payload's first sample is not this one's.
-    edge = offsets[1:-1]
-    crossings[:-1] -= (mu[edge] < 0) != (mu[edge - 1] < 0)
-    out = [
-        f"mulaw_level={m};alaw_level={x};crossings={z};adpcm_level={d};adpcm_peak={p};pcm_samples={len(s) // 2};pcm_crc32={zlib.crc32(s)}"
-        for m, x, z, d, p, s in zip(levels[0].tolist(), levels[1].tolist(), crossings.tolist(), (adpcm_level // (adpcm.shape[1] * np.diff(blocks))).tolist(), adpcm_peak.tolist(), pcm, strict=True)
-    ]
-    return out, pcm
-
-
-def decode(stored: DataFrame, block: int = BLOCK, factor: int = RESAMPLE, with_pcm: bool = False) -> DataFrame:
-    """Digests and features of stored WAV files, read back; with_pcm adds the resampled 16-bit PCM itself.
-
-    A null media value stands for no file: all its columns but doc_id are null.
+    return staged(rows.mapInArrow(run, "doc_id long, n_bytes long, media binary"), "media", STORED_LEVEL)
+
+
+_DECODED = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, format string, pcm binary"
+
+
+def decode(stored: DataFrame, block: int = BLOCK, target: int = TARGET_RATE) -> DataFrame:
+    """Digests of stored WAV files, read back, and their samples as a 16-bit PCM WAV file at the target rate, stored too.
+
+    A null media value stands for no file: all its columns but doc_id and n_bytes are null.
     """
-    schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string" + ", pcm binary" * with_pcm
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "media"):
+        for batch in slices(batches, "media", DECODED_BYTES):
             media = batch.column("media").to_pylist()
-            there = [i for i, m in enumerate(media) if m is not None]
-            columns: list[list] = [[None] * len(media) for _ in range(7)]
-            payloads = [wav_payload(media[i])[1] for i in there]
-            features, pcm = _features(payloads, block, factor) if there else ([], [])
-            for k, i in enumerate(there):
-                p, m = payloads[k], media[i]
-                for column, value in zip(columns, (len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-32:]), len(m), hashlib.sha256(m).hexdigest(), features[k], pcm[k]), strict=True):
-                    column[i] = value
-            kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary()]
-            arrays = [batch.column("doc_id"), batch.column("n_bytes"), *[pa.array([bytes(v) if isinstance(v, memoryview) else v for v in c] if k == pa.binary() else c, k) for c, k in zip(columns[: 6 + with_pcm], kinds, strict=False)]]
-            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "pcm"][: len(arrays)])
-
-    return stored.select("doc_id", "n_bytes", "media").mapInArrow(run, schema)
-
-
-def media_columns(docs: DataFrame, with_pcm: bool = False) -> DataFrame:
-    """Stores every text as telephony audio and returns what is read back.
-
-    Null and empty texts are one block of padding; a null doc_id stays null;
-    repeated rows are returned once each; other columns are not read.
+            columns: dict[str, list] = {c: [None] * len(media) for c in ("payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "format", "pcm")}
+            read: dict[tuple[int, int], list[tuple[int, bytes]]] = {}
+            for i, m in enumerate(media):
+                if m is not None:
+                    tag, rate, p = wav_payload(m)
+                    read.setdefault((tag, rate), []).append((i, p))
+                    for name, value in (("payload_bytes", len(p)), ("payload_sha256", hashlib.sha256(p).hexdigest()), ("tail_crc32", zlib.crc32(p[-32:])), ("media_bytes", len(m)), ("media_sha256", hashlib.sha256(m).hexdigest()), ("format", NAMES[tag])):
+                        columns[name][i] = value
+            for (tag, rate), found in read.items():
+                samples, offsets = resample(*linear(tag, *flat_bytes(pa.array([p for _, p in found], pa.large_binary())), block), rate, target)
+                raw = memoryview(np.ascontiguousarray(samples, "<i2")).cast("B")
+                for (i, _), a, b in zip(found, offsets.tolist(), offsets[1:].tolist(), strict=False):
+                    columns["pcm"][i] = wav(bytes(raw[2 * a : 2 * b]), PCM, target)
+            kinds = dict(payload_bytes=pa.int64(), payload_sha256=pa.string(), tail_crc32=pa.int64(), media_bytes=pa.int64(), media_sha256=pa.string(), format=pa.string(), pcm=pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_bytes"), *[pa.array(columns[c], k) for c, k in kinds.items()]], ["doc_id", "n_bytes", *kinds])
+
+    return staged(stored.select("doc_id", "n_bytes", "media").mapInArrow(run, _DECODED), "pcm", STORED_LEVEL)
+
+
+def _features(pcm: list[bytes]) -> list[str]:
+    """Feature strings of PCM payloads; one without samples has zeros throughout."""
+    if not all(pcm):
+        rest = iter(_features([p for p in pcm if p]) if any(pcm) else [])
+        return [next(rest) if p else "pcm_samples=0;pcm_crc32=0;level=0;peak=0;crossings=0" for p in pcm]
+    raw, edges = flat_bytes(pa.array(pcm, pa.large_binary()))
+    samples, offsets = np.frombuffer(raw.tobytes(), "<i2").astype(np.int32), edges // 2
+    n, size = np.diff(offsets), np.abs(samples)
+    crossings = np.append((samples[1:] < 0) != (samples[:-1] < 0), False).astype(np.int64)
+    crossings[offsets[1:] - 1] = 0  # a sign change onto the next payload's first sample is not this one's
+    level, peak = row_sums(size, offsets) // n, np.maximum.reduceat(size, offsets[:-1])
+    return [f"pcm_samples={c};pcm_crc32={zlib.crc32(p)};level={v};peak={k};crossings={x}" for c, p, v, k, x in zip(n.tolist(), pcm, level.tolist(), peak.tolist(), row_sums(crossings, offsets).tolist(), strict=True)]
+
+
+def with_features(decoded: DataFrame, with_pcm: bool = False) -> DataFrame:
+    """What decode() stored, with a feature string of the PCM that is read back; with_pcm keeps the PCM file too."""
+    names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "pcm", DECODED_BYTES):
+            files = batch.column("pcm").to_pylist()
+            there = [i for i, f in enumerate(files) if f is not None]
+            feature: list[str | None] = [None] * len(files)
+            for i, found in zip(there, _features([wav_payload(files[i])[2] for i in there]) if there else [], strict=True):
+                feature[i] = f"format={batch.column('format')[i].as_py()};{found}"
+            kept = [*names, "feature", "format", *["pcm"] * with_pcm]
+            yield pa.RecordBatch.from_arrays([pa.array(feature, pa.string()) if c == "feature" else batch.column(c) for c in kept], kept)
+
+    schema = _DECODED.replace("format string, pcm binary", "feature string, format string" + ", pcm binary" * with_pcm)
+    return decoded.select(*names, "format", "pcm").mapInArrow(run, schema)
+
+
+def media_columns(docs: DataFrame, tag: int | None = None, with_pcm: bool = False) -> DataFrame:
+    """Stores every text as telephony audio, and its samples as PCM; returns what is read back.
+
+    Null and empty texts are one block of padding; very long texts are one file
+    each; a null doc_id stays null; repeated rows are returned once each; other
+    columns are not read; an empty table gives no rows.
     """
-    return decode(store(docs), with_pcm=with_pcm)
+    return with_features(decode(store(docs, tag)), with_pcm)
