@@ -14,25 +14,23 @@ ZERO_TIME = "0001-01-01T00:00:00Z"
 _RFC3339 = r"^([0-9]{4})-([0-9]{2})-([0-9]{2})T([0-9]{1,2}):([0-9]{2}):([0-9]{2})([.,][0-9]+)?(Z|[+-][0-9]{2}:[0-9]{2})$"
 
 
-def _last_day(year: Column, month: Column) -> Column:
-    leap = (year % 4 == 0) & ((year % 100 != 0) | (year % 400 == 0))
-    return F.when(month == 2, F.when(leap, 29).otherwise(28)).when(month.isin(4, 6, 9, 11), 30).otherwise(31)
-
-
 def rfc3339(text: Column) -> tuple[Column, Column, Column, Column]:
-    """(valid, ts, ts_ns, ts_offset_s) of a strict RFC 3339 timestamp with any number of decimals."""
-    part = lambda k: F.regexp_extract(text, _RFC3339, k)
-    number = lambda k: part(k).try_cast("int")
-    zone, year, month = part(8), number(1), number(2)
-    # The fraction at nine digits; more are cut off.
-    nanos = F.rpad(F.left(F.substr(part(7), F.lit(2)), F.lit(9)), 9, "0")
-    zone_hours, zone_minutes = F.substr(zone, F.lit(2), F.lit(2)).try_cast("int"), F.substr(zone, F.lit(5), F.lit(2)).try_cast("int")
-    offset = F.when(zone == "Z", 0).otherwise((zone_hours * 3600 + zone_minutes * 60) * F.when(F.startswith(zone, F.lit("-")), -1).otherwise(1))
-    valid = F.coalesce(text.rlike(_RFC3339) & month.between(1, 12) & number(3).between(1, _last_day(year, month)) & (number(4) < 24) & (number(5) < 60) & (number(6) < 60) & ((zone == "Z") | (zone_hours <= 24) & (zone_minutes < 60)), F.lit(False))
-    seconds = F.try_make_timestamp(year, month, number(3), number(4), number(5), number(6).cast("decimal(8,6)"), F.lit("UTC"))
-    micros = F.left(nanos, F.lit(6)).try_cast("bigint")
-    ts = F.timestamp_micros(F.unix_micros(seconds) + micros - F.lit(1_000_000).cast("bigint") * offset)
-    return valid, F.when(valid, ts), F.when(valid, F.right(nanos, F.lit(3)).try_cast("short")), F.when(valid, offset)
+    """(valid, ts, ts_ns, ts_offset_s) of a strict RFC 3339 timestamp with any number of decimals.
+
+    One match settles the shape; the parts are then cut out by place, and the cast settles the calendar.
+    """
+    utc = F.endswith(text, F.lit("Z"))
+    zone = F.when(utc, F.lit("Z")).otherwise(F.right(text, F.lit(6)))
+    wall = F.left(text, F.char_length(text) - F.char_length(zone))
+    # The fraction at nine digits; more are cut off, and the cast takes the first six.
+    point = F.locate(".", F.replace(wall, F.lit(","), F.lit(".")), 15)
+    low = F.when(point > 0, F.rpad(F.substr(wall, point + 7, F.lit(3)), 3, "0")).otherwise("0")
+    hours, minutes = F.substr(zone, F.lit(2), F.lit(2)).try_cast("int"), F.substr(zone, F.lit(5), F.lit(2)).try_cast("int")
+    offset = F.when(utc, 0).otherwise((hours * 3600 + minutes * 60) * F.when(F.startswith(zone, F.lit("-")), -1).otherwise(1))
+    moment = F.when(text.rlike(_RFC3339), F.concat(F.replace(wall, F.lit(","), F.lit(".")), F.lit("Z")).try_cast("timestamp"))
+    valid = moment.isNotNull() & (utc | (hours <= 24) & (minutes < 60))
+    ts = F.timestamp_micros(F.unix_micros(moment) - F.lit(1_000_000).cast("bigint") * offset)
+    return valid, F.when(valid, ts), F.when(valid, low.try_cast("short")), F.when(valid, offset)
 
 
 def plus_micros(moment: datetime | None, micros: Column) -> Column:

@@ -13,7 +13,7 @@ from weir import schema
 from weir.functions import text, times
 from weir.operators.parsers.registry import finish, register
 
-_STAMP = r"^[A-Za-z]{3} +[0-9]{1,2} +[0-9]{1,2}:[0-9]{2}:[0-9]{2}([.,][0-9]+)?$"
+_STAMP = r"^[A-Za-z]{3} +([0-9]{1,2}) +([0-9]{1,2}):([0-9]{2}):([0-9]{2}(?:[.,][0-9]+)?)$"
 _STAMP_BYTES = 15
 
 
@@ -35,27 +35,30 @@ class SyslogBSD:
     def parse(self, df: DataFrame, value: str = "value") -> DataFrame:
         df = text.split_priority(df.withColumn("_line", text.trim_newline(F.col(value))), "_line")
         stamp = F.left(F.col("_rest"), F.lit(_STAMP_BYTES))
-        df = df.withColumns({"_stamp": F.split(stamp, "[ :]+"), "_stamped": stamp.rlike(_STAMP), "_tail": F.substr(F.col("_rest"), F.lit(_STAMP_BYTES + 1))})
-        part = lambda k: F.get("_stamp", F.lit(k))
-        month = F.array_position(F.array(*[F.lit(m) for m in times.MONTHS]), F.lower(part(0))).cast("int")
+        df = df.withColumns({"_stamp": stamp, "_stamped": stamp.rlike(_STAMP), "_tail": F.substr(F.col("_rest"), F.lit(_STAMP_BYTES + 1))})
+        at = lambda place, n: F.substr(F.col("_stamp"), F.lit(place), F.lit(n))
+        usual = (at(7, 1) == " ") & (at(10, 1) == ":") & (at(13, 1) == ":")
+        part = lambda k, place: F.trim(F.when(usual, at(place, 2)).otherwise(F.regexp_extract("_stamp", _STAMP, k)))
+        month = F.instr(F.lit("".join(times.MONTHS)), F.lower(at(1, 3))) + 2
         df = df.withColumns({
-            "_month": month, "_day": part(1).try_cast("int"), "_hour": part(2).try_cast("int"), "_minute": part(3).try_cast("int"), "_second": F.replace(part(4), F.lit(","), F.lit(".")).try_cast("decimal(8,6)"),
-            "_after": F.split(F.substr(F.col("_tail"), F.lit(2)), " ", 2),
-        })
+            "_month": F.when(month % 3 == 0, F.floor(month / 3).cast("int")).otherwise(0), "_day": part(1, 5).try_cast("int"), "_hour": part(2, 8).try_cast("int"), "_minute": part(3, 11).try_cast("int"),
+            "_micros": F.when(usual, at(14, 2).try_cast("bigint") * 1_000_000).otherwise((F.replace(F.regexp_extract("_stamp", _STAMP, 4), F.lit(","), F.lit(".")).try_cast("decimal(8,6)") * 1_000_000).cast("bigint")),
+            "_after": F.substr(F.col("_tail"), F.lit(2)),
+        }).withColumn("_space", F.instr("_after", " "))
         # The day is held against a leap year, and the 29th of February of another year is the 1st of March.
         last = F.when(F.col("_month") == 2, 29).when(F.col("_month").isin(4, 6, 9, 11), 30).otherwise(31)
-        dated = F.coalesce(F.col("_stamped") & (F.col("_month") > 0) & F.col("_day").between(1, last) & (F.col("_hour") < 24) & (F.col("_minute") < 60) & (F.col("_second") < 60), F.lit(False))
+        dated = F.coalesce(F.col("_stamped") & (F.col("_month") > 0) & F.col("_day").between(1, last) & (F.col("_hour") < 24) & (F.col("_minute") < 60) & (F.col("_micros") < 60_000_000), F.lit(False))
         error = (
             F.when(F.coalesce(F.col("_line"), F.lit("")) == "", schema.TRUNCATED_LINE)
             .when(F.col("_pri_error").isNotNull(), F.col("_pri_error"))
             .when(F.octet_length("_rest") < _STAMP_BYTES, schema.TRUNCATED_LINE)
-            .when(~dated | ~F.startswith("_tail", F.lit(" ")) | (F.size("_after") < 2) | (F.get("_after", F.lit(0)) == ""), schema.INVALID_FORMAT)
+            .when(~dated | ~F.startswith("_tail", F.lit(" ")) | (F.col("_space") < 2), schema.INVALID_FORMAT)
         )
         day = F.date_add(F.make_date(F.lit(self.year), F.greatest(F.col("_month"), F.lit(1)), F.lit(1)), F.col("_day") - 1)
-        clock = [F.year("_date"), F.month("_date"), F.day("_date"), F.col("_hour"), F.col("_minute"), F.col("_second")]
-        zone = [F.lit(self.zone)] if self.zone else []
-        df = df.withColumns({"_error0": error, "_body": F.get("_after", F.lit(1))}).withColumn("_date", F.when(F.col("_error0").isNull(), day))
-        df = df.withColumns({"_ts": F.try_make_timestamp(*clock, *zone), "_wall": F.try_make_timestamp(*clock, F.lit("UTC")), "_tag": F.regexp_extract("_body", r"^[^\[: ]*", 0)})
+        wall = F.unix_date(day).cast("bigint") * 86_400_000_000 + (F.col("_hour") * 3600 + F.col("_minute") * 60).cast("bigint") * 1_000_000 + F.col("_micros")
+        zone = self.zone or df.sparkSession.conf.get("spark.sql.session.timeZone")
+        df = df.withColumns({"_error0": error, "_body": F.substr(F.col("_after"), F.col("_space") + 1)}).withColumn("_wall", F.when(F.col("_error0").isNull(), F.timestamp_micros(wall)))
+        df = df.withColumns({"_ts": F.col("_wall") if zone == "UTC" else F.to_utc_timestamp("_wall", zone), "_tag": F.substring_index(F.substring_index(F.substring_index("_body", "[", 1), ":", 1), " ", 1)})
         df = df.withColumn("_post", F.substr(F.col("_body"), F.char_length("_tag") + 1)).withColumn("_close", F.instr("_post", "]"))
         bracket = F.startswith("_post", F.lit("[")) & (F.col("_close") > 0)
         message = F.when(bracket, F.substr(F.col("_post"), F.col("_close") + 1)).otherwise(F.col("_post"))
@@ -63,9 +66,9 @@ class SyslogBSD:
             df, self.name, F.col("_error0"),
             ts=F.col("_ts"), ts_offset_s=F.unix_seconds("_wall") - F.unix_seconds("_ts"),
             severity=schema.parsed_severity(F.col("_pri") % 8), facility=F.floor(F.col("_pri") / 8),
-            host=F.get("_after", F.lit(0)), proc=F.col("_tag"),
+            host=F.substring_index("_after", " ", 1), proc=F.col("_tag"),
             pid=F.when(bracket, text.nonnegative(F.substr(F.col("_post"), F.lit(2), F.greatest(F.col("_close") - 2, F.lit(0))))).otherwise(0),
-            msg=F.regexp_replace(message, "^:? *", ""),
+            msg=F.ltrim(F.when(F.startswith(message, F.lit(":")), F.substr(message, F.lit(2))).otherwise(message)),
         )
 
 
