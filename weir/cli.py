@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import argparse
+import os
+import stat
 import sys
 
 from weir.security import Insecure
@@ -51,10 +53,11 @@ def run_dump(args: argparse.Namespace) -> int:
     except ValueError as failure:
         print(failure, file=sys.stderr)
         return USAGE
-    live = dump.captured(args.dmesg is True, args.journal is True, args.journal_unit)
-    given = {name: live.get(name) if value is True else value for name, value in (("dmesg", args.dmesg), ("journal", args.journal))}
-    inputs = dump.sources(args.syslog_bsd, args.syslog_rfc5424, kmsg=args.kmsg, journal_units=args.journal_unit, **given)
-    if not inputs and not (args.dmesg or args.journal):
+    device = bool(args.kmsg) and os.path.exists(args.kmsg) and stat.S_ISCHR(os.stat(args.kmsg).st_mode)  # a file holds captured records
+    live = dump.captured(args.dmesg is True, args.journal is True, args.journal_unit, within=within, kmsg=args.kmsg if device else "")
+    given = {name: live.get(name) if asked else value for name, value, asked in (("dmesg", args.dmesg, args.dmesg is True), ("journal", args.journal, args.journal is True), ("kmsg", args.kmsg, device))}
+    inputs = dump.sources(args.syslog_bsd, args.syslog_rfc5424, journal_units=args.journal_unit, **given)
+    if not inputs and not (args.dmesg or args.journal or args.kmsg):
         print("dump: no sources given", file=sys.stderr)
         return USAGE
     try:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.observation import Observation
 
 from weir import schema
+from weir.operators.retention import running_in_place
 
 
 def order() -> list[Column]:
@@ -32,3 +33,9 @@ def merge(sources: Sequence[DataFrame], max_lines: int = 0, written: Observation
     if max_lines > 0:
         out = out.limit(max_lines)
     return out.observe(written, F.count(F.lit(1)).alias("written")) if written else out
+
+
+def positions(ordered: DataFrame, into: str = "position") -> DataFrame:
+    """Adds each row's place, from 1, in the order in which the plan delivers its rows."""
+    one = "_one"
+    return running_in_place(ordered.withColumn(one, F.lit(1).cast("bigint")), one, into).drop(one)

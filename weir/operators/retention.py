@@ -33,6 +33,11 @@ def running(df: DataFrame, by: str | Sequence[str | Column], value: str, into: s
     """
     order = [F.col(c) if isinstance(c, str) else c for c in ([by] if isinstance(by, str | Column) else by)]
     order = [c.desc() for c in order] if descending else order
+    return running_in_place(df.repartitionByRange(*order).sortWithinPartitions(*order), value, into)
+
+
+def running_in_place(df: DataFrame, value: str, into: str) -> DataFrame:
+    """Adds the running sum of `value` in the order in which the plan delivers its rows, partition after partition."""
     columns = df.columns
 
     def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -43,7 +48,7 @@ def running(df: DataFrame, by: str | Sequence[str | Column], value: str, into: s
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sums), pa.array(np.full(len(sums), part, np.int32))], [*columns, into, "_range"])
 
     schema = StructType([*df.schema.fields, StructField(into, LongType()), StructField("_range", IntegerType())])
-    ranged = staged(df.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(summed, schema), "running")
+    ranged = staged(df.mapInArrow(summed, schema), "running")
     totals = ranged.groupBy("_range").agg(F.coalesce(F.sum(value), F.lit(0)).cast("bigint").alias("_total"))
     # One row a range, so a single task orders them, and they are broadcast.
     before = totals.select("_range", (F.sum("_total").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_total")).alias("_before"))

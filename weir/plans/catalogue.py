@@ -16,8 +16,8 @@ from weir import schema
 from weir.functions import jsonl, text
 from weir.operators import parsers, ratelimit, retention
 from weir.operators.filters import TimeRange, journal_priority, journal_units
-from weir.operators.merge import merge
-from weir.plans import rendering
+from weir.operators.merge import merge, positions
+from weir.plans import checks, rendering
 from weir.sinks import topics
 
 BOOT = "2024-01-01T00:00:00Z"
@@ -130,11 +130,12 @@ def _three(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
 
 
 def merge_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return merge(_three(spark, sf_dir)).select(F.col("line_ord").alias("event_id"), _ntz(), "src", F.col("src_ord").cast("bigint").alias("src_ord"), "msg")
+    """position: the row's place as the merge delivers it, so that the order itself is compared."""
+    return positions(merge(_three(spark, sf_dir))).select(F.col("line_ord").alias("event_id"), _ntz(), "src", F.col("src_ord").cast("bigint").alias("src_ord"), "msg", "position")
 
 
 def merge_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return merge(_three(spark, sf_dir), max_lines=500).select(F.col("line_ord").alias("event_id"), _ntz(), "src", F.col("src_ord").cast("bigint").alias("src_ord"), "msg")
+    return positions(merge(_three(spark, sf_dir), max_lines=500)).select(F.col("line_ord").alias("event_id"), _ntz(), "src", F.col("src_ord").cast("bigint").alias("src_ord"), "msg", "position")
 
 
 def jsonl_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -149,12 +150,6 @@ def line_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def utf8_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    cut = F.substring(F.col("text").cast("binary"), F.lit(1), (F.col("doc_id") % 40 + 20).cast("int")).cast("string")
-    return docs.select("doc_id", text.repair_utf8(cut).alias("repaired")).select("doc_id", F.char_length("repaired").cast("bigint").alias("n_chars"), F.endswith("repaired", F.lit("�")).alias("cut_inside"))
-
-
-def utf8_repair_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole texts with ill-formed bytes all over them: letters without their last byte, stray bytes around spaces and at the end."""
     stray, cut = (F.lit(x).cast("string") for x in (b"\xc3 \x9f", b"\xc3"))
     spoilt = F.concat(F.replace(F.replace("text", F.lit("ñ"), cut), F.lit(" "), stray), F.lit(b"\xf0\x9f").cast("string"))
@@ -204,9 +199,9 @@ def topic_route(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     named = (
         parse_syslog_bsd, parse_syslog_rfc5424, parse_kmsg, parse_dmesg_legacy, parse_dmesg_iso, parse_journald, parse_error_classes, level_decode, level_encode, filter_time_range, filter_journal, merge_sources, merge_limit,
-        jsonl_roundtrip, line_cap, utf8_repair, utf8_repair_whole, entry_cost, ring_entry_cap, ring_byte_cap, spool_evict, batch_assign, rate_limit, drop_counts, topic_route,
+        jsonl_roundtrip, line_cap, utf8_repair, entry_cost, ring_entry_cap, ring_byte_cap, spool_evict, batch_assign, rate_limit, drop_counts, topic_route,
     )
-    return {f.__name__: f for f in named}
+    return {f.__name__: f for f in named} | checks.queries()
 
 
 # The same in SQL. e: what every event is rendered from; *_ok: its class, null where the line is well-formed.
@@ -250,7 +245,6 @@ _BUCKETS = f"""WITH RECURSIVE n AS (SELECT event_type AS source, event_id AS seq
  b AS (SELECT source, seq, k, us AS last, CAST({BURST} AS DOUBLE) - 1 AS tokens, TRUE AS allowed FROM n WHERE k = 1
  UNION ALL SELECT source, seq, k, last, CASE WHEN filled >= 1 THEN filled - 1 ELSE filled END, filled >= 1 FROM (
   SELECT n.source, n.seq, n.k, greatest(n.us, b.last) AS last, CASE WHEN n.us > b.last THEN least(CAST({BURST} AS DOUBLE), b.tokens + CAST(n.us - b.last AS DOUBLE) / 1000000.0::DOUBLE * CAST({RATE!r} AS DOUBLE)) ELSE b.tokens END AS filled FROM b JOIN n ON n.source = b.source AND n.k = b.k + 1))"""
-_DOCS_LAST = "SELECT doc_id, strlen(text) AS n, doc_id % 40 + 20 AS k, text FROM documents"
 
 
 def oracle_sql() -> dict[str, str]:
@@ -269,12 +263,11 @@ def oracle_sql() -> dict[str, str]:
         "level_encode": f"SELECT event_id, s AS severity, {_LEVEL.format(s='s')} AS level, {_LEVEL.format(s='CASE WHEN s BETWEEN 0 AND 7 THEN s ELSE 4 END')} AS parsed_level FROM (SELECT event_id, event_id % 10 - 1 AS s FROM events)",
         "filter_time_range": f"{_P_RFC} SELECT event_id, ts FROM p WHERE error_class IS NULL AND ts BETWEEN TIMESTAMP '{SINCE}' AND TIMESTAMP '{UNTIL}'",
         "filter_journal": f"SELECT conv_id, turn, {_SEVERITY} AS severity, 'unit' || (conv_id % 7) || '.service' AS unit FROM conversations WHERE conv_id % 7 IN (1, 4) AND {_SEVERITY} <= 4",
-        "merge_sources": f"{_P_THREE} SELECT event_id, ts, src, src_ord, msg FROM m",
-        "merge_limit": f"{_P_THREE} SELECT event_id, ts, src, src_ord, msg FROM m ORDER BY ts ASC NULLS FIRST, src_ord, event_id LIMIT 500",
+        "merge_sources": f"{_P_THREE} SELECT event_id, ts, src, src_ord, msg, row_number() OVER (ORDER BY ts ASC NULLS FIRST, src_ord, event_id) AS position FROM m",
+        "merge_limit": f"{_P_THREE} SELECT event_id, ts, src, src_ord, msg, row_number() OVER (ORDER BY ts ASC NULLS FIRST, src_ord, event_id) AS position FROM m ORDER BY position LIMIT 500",
         "jsonl_roundtrip": f"{_P_RFC} SELECT ts, ts_offset_s, severity, level, facility, host, proc, pid, msg, 'syslog_rfc5424' AS src, sd, error_class FROM p WHERE error_class IS NULL",
         "line_cap": f"SELECT doc_id, CAST(least(strlen(text) + 1, {LINE_CAP}) AS BIGINT) AS kept_bytes, strlen(text) >= {LINE_CAP} AS truncated FROM documents",
-        "utf8_repair": f"SELECT doc_id, CAST(CASE WHEN n <= k THEN length(text) ELSE whole + CASE WHEN strlen(left(text, whole)) < k THEN 1 ELSE 0 END END AS BIGINT) AS n_chars, n > k AND strlen(left(text, whole)) < k AS cut_inside FROM (SELECT *, list_max(list_filter(range(0, k + 1), lambda x: strlen(left(text, x)) <= k)) AS whole FROM ({_DOCS_LAST}))",
-        "utf8_repair_whole": "SELECT doc_id, CAST(length(t) AS BIGINT) AS n_chars, md5(t) AS digest FROM (SELECT doc_id, regexp_replace(replace(replace(text, 'ñ', '�'), ' ', '� �') || '�', '�+', '�', 'g') AS t FROM documents)",
+        "utf8_repair": "SELECT doc_id, CAST(length(t) AS BIGINT) AS n_chars, md5(t) AS digest FROM (SELECT doc_id, regexp_replace(replace(replace(text, 'ñ', '�'), ' ', '� �') || '�', '�+', '�', 'g') AS t FROM documents)",
         "entry_cost": f"{_P_RFC} SELECT event_id, CAST({_COST} AS BIGINT) AS cost FROM p WHERE error_class IS NULL",
         "ring_entry_cap": f"SELECT event_id FROM events ORDER BY event_id DESC LIMIT {RING_ENTRIES}",
         "ring_byte_cap": f"{_P_RFC}, q AS (SELECT event_id, CAST({_COST} AS BIGINT) AS cost FROM p WHERE error_class IS NULL), r AS (SELECT *, row_number() OVER (ORDER BY event_id DESC) AS k, sum(cost) OVER (ORDER BY event_id DESC ROWS UNBOUNDED PRECEDING) AS size FROM q) SELECT event_id, cost FROM r WHERE k <= {RING_ENTRIES} AND (size <= {RING_BYTES} OR k = 1)",
@@ -282,5 +275,6 @@ def oracle_sql() -> dict[str, str]:
         "batch_assign": f"SELECT event_id, (row_number() OVER (ORDER BY event_id) - 1) // {BATCH} AS batch FROM events",
         "rate_limit": f"{_BUCKETS} SELECT source, seq, allowed FROM b",
         "drop_counts": f"{_BUCKETS} SELECT source, count(*) AS seen, count(*) FILTER (WHERE NOT allowed) AS dropped FROM b GROUP BY source",
+        **checks.oracle_sql(_P_BSD, _P_RFC, _E),
         "topic_route": f"SELECT event_id, CASE WHEN event_id % 11 <> 0 THEN '{topics.ROOT}/' || event_type || '/device-' || CASE WHEN user_id < 1000 THEN lpad(CAST(user_id AS VARCHAR), 3, '0') ELSE CAST(user_id AS VARCHAR) END || '/logs' END AS topic FROM events",
     }

@@ -14,8 +14,13 @@ ZONES = (("Z", 0), ("+02:00", 7200), ("-05:30", -19800))
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """events with ts as an instant in UTC, cents, and the PRI value of rendered lines."""
+    """events with ts as an instant in UTC, cents, and the PRI value of rendered lines.
+
+    A table of fewer files than cores is dealt out to all of them.
+    """
     read = spark.read.parquet(f"{sf_dir}/events.parquet")
+    if len(read.inputFiles()) < spark.sparkContext.defaultParallelism:
+        read = read.repartition(spark.sparkContext.defaultParallelism)
     return read.withColumns({"at": F.col("ts").cast("timestamp"), "cents": F.round(F.col("value") * 100).cast("bigint"), "pri": F.col("event_id") % 192})
 
 

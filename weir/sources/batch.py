@@ -16,13 +16,17 @@ from weir.operators.filters import TimeRange, journal_priority, journal_units
 CAPTURE_SECONDS = 30
 
 
-def lines(spark: SparkSession, path: str | list[str], separator: str = "\n") -> DataFrame:
+def lines(spark: SparkSession, path: str | list[str], separator: str = "\n", isolated: bool = False) -> DataFrame:
     """(value, file, line_ord): records between separators; files may be patterns, and an unfinished last line counts.
 
-    line_ord orders a file's lines as read: by split, then inside the split.
+    line_ord orders lines by file, then by place in it.  isolated: a file that
+    cannot be read to its end gives what was read of it.
     """
-    read = spark.read.option("lineSep", separator).text(path)
-    return read.select("value", F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("line_ord"))
+    reader = spark.read.option("lineSep", separator)
+    if isolated:
+        reader = reader.option("ignoreCorruptFiles", "true").option("ignoreMissingFiles", "true")
+    place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
+    return reader.text(path).select("value", F.col("_metadata.file_path").alias("file"), place.alias("line_ord"))
 
 
 @dataclass(frozen=True)
@@ -36,18 +40,18 @@ class Source:
     units: tuple[str, ...] = ()
     priority: int = 0
 
-    def parsed(self, spark: SparkSession) -> DataFrame:
+    def parsed(self, spark: SparkSession, isolated: bool = False) -> DataFrame:
         """All records and failures; touches the path now, so that a broken source fails here."""
         if self.parser == "journald":
-            raw = lines(spark, self.path, "\n\n").withColumn("value", F.trim(F.col("value"), F.lit(" \t\r\n"))).where("value <> ''")
+            raw = lines(spark, self.path, "\n\n", isolated).withColumn("value", F.trim(F.col("value"), F.lit(" \t\r\n"))).where("value <> ''")
         else:
-            raw = lines(spark, self.path)
+            raw = lines(spark, self.path, isolated=isolated)
         out = parsers.build(self.parser, self.options).parse(raw)
         return out.withColumns({"src": F.lit(self.label), "msg": text.repair_utf8(F.col("msg"))})
 
-    def read(self, spark: SparkSession, within: TimeRange = TimeRange()) -> DataFrame:
+    def read(self, spark: SparkSession, within: TimeRange = TimeRange(), isolated: bool = False) -> DataFrame:
         """Records that were read, in the time range and of the journal's units and priority."""
-        good = self.parsed(spark).where(F.col("error_class").isNull()).drop("error_class")
+        good = self.parsed(spark, isolated).where(F.col("error_class").isNull()).drop("error_class")
         return within.apply(good.where(journal_units(self.units) & journal_priority(self.priority)))
 
 

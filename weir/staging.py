@@ -34,6 +34,14 @@ def staged(df: DataFrame, tag: str, level: int = 3) -> DataFrame:
     return out
 
 
+def staged_text(df: DataFrame, tag: str, separator: str = "\n") -> str:
+    """The folder of text files that the one column of df was written to; unstaged() with `since` removes it."""
+    path = f"{shared_dir(df.sparkSession)}/weir/{tag}-{uuid.uuid4().hex}"
+    _written.append(path)
+    df.write.option("lineSep", separator).text(path)
+    return path
+
+
 #: Folders written by staged() and not removed yet, oldest first.
 _written: list[str] = []
 
