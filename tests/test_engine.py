@@ -175,6 +175,28 @@ def test_sources_and_dump(spark, tmp_path):
         dump.dump(spark, [batch.Source(str(tmp_path / "none"), "kmsg", "k", {})])
 
 
+def test_dump_goes_on_past_a_file_that_fails_while_read(spark, tmp_path):
+    """A compressed file that ends in the middle gives what was read of it, and the other source all."""
+    import gzip
+
+    good, cut = tmp_path / "good.log", tmp_path / "cut.log.gz"
+    good.write_bytes(b"<13>1 2026-05-01T12:00:02Z h p - - - whole\n")
+    packed = gzip.compress(b"".join(b"<13>1 2026-05-01T12:00:01Z h p - - - %d\n" % (k * 7919 % 100_003) for k in range(20_000)))
+    cut.write_bytes(packed[: len(packed) // 2])
+    rows = dump.dump(spark, dump.sources([], [str(good), str(cut)])).collect()
+    assert [r["msg"] for r in rows if r["src"].endswith("good.log")] == ["whole"] and len(rows) < 20_001
+    with pytest.raises(Exception, match="(?i)eof|unexpected end|FAILED_READ_FILE"):
+        batch.Source(str(cut), "syslog_rfc5424", "x").read(spark).collect()
+
+
+def test_lines_of_many_files_are_ordered_by_file_and_place(spark, tmp_path):
+    """Ties in time go by file name and line, however large the files are."""
+    for name, n in (("b.log", 2000), ("a.log", 3), ("c.log", 50)):
+        (tmp_path / name).write_text("".join(f"<13>1 2026-05-01T12:00:00Z h p - - - {name[0]}{k}\n" for k in range(n)))
+    rows = dump.dump(spark, dump.sources([], [f"{tmp_path}/*.log"])).collect()
+    assert [r["msg"] for r in rows] == [f"{x}{k}" for x, n in (("a", 3), ("b", 2000), ("c", 50)) for k in range(n)]
+
+
 def test_commands_and_capture(tmp_path):
     assert batch.journal_arguments(("a", "b"), 3, "/d", True) == ["journalctl", "-o", "export", "--no-pager", "-f", "--directory=/d", "--unit", "a", "--unit", "b", "--priority", "3"]
     assert open(batch.capture(["echo", "hi"], str(tmp_path / "o"))).read() == "hi\n"
@@ -189,6 +211,8 @@ def test_cli(spark, tmp_path, capsys):
     out = tmp_path / "out"
     assert cli.main(["dump", "--syslog-rfc5424", str(log), "-o", str(out), "--max-lines", "1"]) == cli.OK
     assert '"msg":"a"' in out.read_text() and out.read_text().count("\n") == 1
+    assert cli.main(["dump", "--syslog-rfc5424", str(log), "-o", f"{tmp_path}/many/"]) == cli.OK
+    assert sorted(r["msg"] for r in files.read_jsonl(spark, f"{tmp_path}/many").collect()) == ["a", "b"]
     assert cli.main(["dump"]) == cli.USAGE and cli.main(["dump", "--syslog-bsd", "x", "--since", "soon"]) == cli.USAGE
     assert cli.main(["version"]) == cli.OK
 

@@ -337,3 +337,58 @@ def test_failed_source_is_started_again(tmp_path):
     assert len(tries) == 1 and r.due == 1.0
     r.step(1.1)
     assert len(tries) == 2 and r.due == pytest.approx(3.1) and not r.fatal
+
+
+class FakeClient:
+    """What the MQTT publisher asks of its library."""
+
+    made: list = []
+
+    def __init__(self, version, client_id="", protocol=None):
+        self.client_id, self.calls, self.answers = client_id, [], True
+        FakeClient.made.append(self)
+
+    def __getattr__(self, name):
+        def call(*given, **named):
+            self.calls.append((name, given, named))
+            if name == "connect":
+                self.on_connect(self, None, None, 0, None)
+            if name == "publish":
+                return type("Sent", (), {"wait_for_publish": lambda _, seconds: None, "is_published": lambda _: self.answers})()
+            if name == "socket":
+                return type("Socket", (), {"getpeercert": lambda _, binary_form: b"certificate"})()
+
+        return call
+
+
+def test_mqtt_publisher_against_a_fake(monkeypatch):
+    import hashlib
+    import sys
+    import types
+
+    from weir.security import Insecure
+    from weir.sinks.delivery import MQTTPublisher
+
+    client = types.SimpleNamespace(Client=FakeClient, CallbackAPIVersion=types.SimpleNamespace(VERSION2=2), MQTTv5=5)
+    mqtt = types.SimpleNamespace(client=client)
+    for name, module in (("paho", types.SimpleNamespace(mqtt=mqtt)), ("paho.mqtt", mqtt), ("paho.mqtt.client", client)):
+        monkeypatch.setitem(sys.modules, name, module)
+    pin = hashlib.sha256(b"certificate").digest()
+    out = MQTTPublisher("mqtts://broker:9000", "dev1", "context", pin, "t/status")
+    made = FakeClient.made[-1]
+    calls = {name: given for name, given, _ in made.calls}
+    assert made.client_id == "dev1" and calls["connect"] == ("broker", 9000) and calls["tls_set_context"] == ("context",) and calls["will_set"][0] == "t/status" and "loop_start" in calls
+    out.publish("t/logs", b"x", 1)
+    assert made.calls[-1] == ("publish", ("t/logs", b"x"), {"qos": 1, "retain": False})
+    made.answers = False
+    with pytest.raises(OSError, match="no acknowledgement"):
+        out.publish("t/logs", b"x", 1)
+    out.close()
+    assert [c[0] for c in made.calls[-2:]] == ["disconnect", "loop_stop"]
+    with pytest.raises(Insecure):
+        MQTTPublisher("tls://broker", "dev1", "context", b"0" * 32)
+    with pytest.raises(ValueError):
+        MQTTPublisher("tcp://broker", "dev1", "context")
+    monkeypatch.setitem(sys.modules, "paho.mqtt", None)
+    with pytest.raises(RuntimeError, match="paho-mqtt"):
+        MQTTPublisher("tls://broker", "dev1", "context")

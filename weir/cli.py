@@ -27,7 +27,7 @@ def arguments() -> argparse.ArgumentParser:
     d.add_argument("--syslog-rfc5424", action="append", default=[], metavar="PATH")
     d.add_argument("--since", default="")
     d.add_argument("--until", default="")
-    d.add_argument("--output", "-o", default="")
+    d.add_argument("--output", "-o", default="", help="a file in time order, or a folder (ending with /) of files written in parallel")
     d.add_argument("--gzip", action="store_true")
     d.add_argument("--max-lines", type=int, default=0)
     v = commands.add_parser("validate", help="check a configuration")
@@ -46,7 +46,7 @@ def _session():
 def run_dump(args: argparse.Namespace) -> int:
     from weir.operators.filters import time_range
     from weir.plans import dump
-    from weir.sinks.files import write_ordered
+    from weir.sinks.files import write_jsonl, write_ordered
 
     try:
         within = time_range(args.since, args.until)
@@ -60,8 +60,17 @@ def run_dump(args: argparse.Namespace) -> int:
     if not inputs and not (args.dmesg or args.journal or args.kmsg):
         print("dump: no sources given", file=sys.stderr)
         return USAGE
+    spark = _session()
+    if live and not spark.sparkContext.master.startswith("local["):
+        print("dump: the running system is captured on the driver, which needs a local session", file=sys.stderr)
+        return USAGE
     try:
-        written = write_ordered(dump.dump(_session(), inputs, within, args.max_lines), args.output, args.gzip)
+        records = dump.dump(spark, inputs, within, args.max_lines)
+        if args.output.endswith("/"):
+            write_jsonl(records, args.output, args.gzip)
+            print(f"wrote {args.output}", file=sys.stderr)
+            return OK
+        written = write_ordered(records, args.output, args.gzip)
     except (OSError, ValueError) as failure:
         print(f"dump: {failure}", file=sys.stderr)
         return FAILED
