@@ -208,24 +208,25 @@ def test_secret_kinds(text, kinds):
     assert [secrets.KINDS[k] for _, k, _ in secrets.all_spans(text)] == kinds
 
 
+def brute_random(text):
+    """(start, end) of random runs, each held against all base spans, by the ratio alone."""
+    encode, base, spans = tokens.rank_encoding(tokens.BYTE_RANKS).encode_ordinary, brute_secrets(text), []
+    for m in re.finditer(r"[A-Za-z0-9+/_-]{20,}={0,2}", text):
+        run = m[0]
+        if any(a <= m.start() and m.end() <= b for a, _, b in base) or not re.search("[A-Za-z]", run):
+            continue
+        if len(run) in (32, 40, 56, 64, 96, 128) and re.fullmatch("[0-9a-fA-F]+", run) or re.fullmatch("[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}", run):
+            continue
+        if len(run) / len(encode(run)) <= (2.0 if re.search("[0-9]", run) else 1.9):
+            spans.append(m.span())
+    return spans
+
+
 def test_secrets_random_is_the_brute_version(spark, sf_dir, documents):
-    """The random kind of every text of the table, each run held against all base spans, by the ratio alone."""
-    encode = tokens.rank_encoding(tokens.BYTE_RANKS).encode_ordinary
+    """The random kind of every text of the table."""
     # The table's own secrets are all of the base kinds, so keys without a name are put into half the texts.
     keyed = documents.withColumn("text", F.when(F.col("doc_id") % 2 == 0, F.concat("text", F.lit(" "), F.base64(F.unhex(F.md5(F.col("doc_id").cast("string")))), F.lit(" "), F.col("text"))).otherwise(F.col("text")))
-    want = {}
-    for doc_id, text in texts(keyed):
-        base = brute_secrets(text)
-        spans = []
-        for m in re.finditer(r"[A-Za-z0-9+/_-]{20,}={0,2}", text):
-            run = m[0]
-            if any(a <= m.start() and m.end() <= b for a, _, b in base) or not re.search("[A-Za-z]", run):
-                continue
-            if len(run) in (32, 40, 56, 64, 96, 128) and re.fullmatch("[0-9a-fA-F]+", run) or re.fullmatch("[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}", run):
-                continue
-            if len(run) / len(encode(run)) <= (2.0 if re.search("[0-9]", run) else 1.9):
-                spans.append(f"random:{m.start()}:{m.end()}")
-        want[doc_id] = spans
+    want = {doc_id: [f"random:{a}:{b}" for a, b in brute_random(text)] for doc_id, text in texts(keyed)}
     found = {r["doc_id"]: [s for s in r["spans"].split(",") if s.startswith("random")] for r in rows_of(secrets.scan(keyed))}
     assert found == want and sum(map(len, want.values())) > 0.4 * len(want)
 

@@ -12,7 +12,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from weir.llm import catalogue, decontaminate, langid, packing, quality, secrets
+from weir.llm import catalogue, common, decontaminate, langid, packing, quality
 
 
 def rows_of(df):
@@ -371,18 +371,24 @@ def test_leaks_are_the_brute_version(spark, sf_dir, documents):
     assert sorted(blocks, key=key) == sorted(found, key=key)
 
 
-def test_leaks_are_exhaustive_alignment(spark, sf_dir, documents):
-    """The query against the edit distance of every item to every document: nothing else, and nine in ten at least."""
+def brute_leaks(spark, sf_dir, docs):
+    """(id, item) of every item within the edit limit of any part of a text."""
     items = [(r["item_id"], b" ".join(decontaminate.words_of(r["text"].encode()))) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
     want = set()
-    for r in documents.collect():
-        text = b" ".join(decontaminate.words_of((r["text"] or "").encode()))
+    for doc_id, text in docs:
+        text = b" ".join(decontaminate.words_of((text or "").encode()))
         letters = Counter(text)
         for item_id, item in items:
             most = int(decontaminate.EDITS * len(item))
             # A part of the text cannot hold letters that the whole has not.
             if item in text or sum((Counter(item) - letters).values()) <= most and decontaminate.fewest_edits(item, text, most) <= most:
-                want.add((r["doc_id"], item_id))
+                want.add((doc_id, item_id))
+    return want
+
+
+def test_leaks_are_exhaustive_alignment(spark, sf_dir, documents):
+    """The query against the edit distance of every item to every document: nothing else, and nine in ten at least."""
+    want = brute_leaks(spark, sf_dir, [(r["doc_id"], r["text"]) for r in documents.collect()])
     found = {(r["doc_id"], r["item_id"]) for r in rows_of(catalogue.op7_decontamination(spark, sf_dir))}
     assert found <= want and len(found) >= 0.9 * len(want) and want
 
@@ -418,27 +424,51 @@ def test_leaks_odd(spark, odd, clashing, empty):
 # Pipeline
 
 
+def brute_redacted(text):
+    """The text with the base kinds and random runs replaced, overlapping ones together."""
+    from tests.llm.test_digests import brute_random, brute_secrets
+
+    spans = sorted([(a, b) for a, _, b in brute_secrets(text)] + brute_random(text))
+    merged = []
+    for a, b in spans:
+        if merged and a < merged[-1][1]:
+            merged[-1][1] = max(merged[-1][1], b)
+        else:
+            merged.append([a, b])
+    out, at = "", 0
+    for a, b in merged:
+        out, at = out + text[at:a] + "[SECRET]", b
+    return out + text[at:]
+
+
 def test_pipeline_is_its_stages_by_hand(spark, sf_dir, documents):
-    """Each stage's decision worked out in one process from the operators' own row functions."""
+    """Each stage's decision by the brute-force version of its operator, in one process."""
     from tests.llm.test_digests import brute_components, brute_fingerprint, check_packing
 
     docs = sorted(documents.collect(), key=lambda r: r["doc_id"])
-    accepted = {r["doc_id"] for r in langid.identify(documents, ["doc_id"], F.col("lang"), F.col("source")).where("accepted").collect()}
-    docs = [r for r in docs if r["doc_id"] in accepted]
+    languages = brute_languages([(r["doc_id"], r["text"], r["lang"], r["source"]) for r in docs])
+    docs = [r for r in docs if languages[r["doc_id"]][0] != langid.UNKNOWN and languages[r["doc_id"]][1] >= langid.LEAST]
     ids = [r["doc_id"] for r in docs]
     first = dict(zip(ids, brute_components(ids, [brute_fingerprint(r["text"] or "") for r in docs]), strict=True))
     docs = [r for r in docs if first[r["doc_id"]] == r["doc_id"]]
-    items = decontaminate.prepare([(r["item_id"], r["text"].encode()) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()])
-    docs = [r for r in docs if not decontaminate.search([(r["text"] or "").encode()], items)]
-    docs = [(r["doc_id"], secrets.redacted(r["text"], secrets.all_spans(r["text"]))) for r in docs]
+    leaking = brute_leaks(spark, sf_dir, [(r["doc_id"], r["text"]) for r in docs])
+    docs = [(r["doc_id"], brute_redacted(r["text"])) for r in docs if r["doc_id"] not in {d for d, _ in leaking}]
+    assert leaking and len(docs) > 100
     check_packing(rows_of(corpus_pipeline.run(spark, sf_dir)), docs)
 
 
-def test_pipeline_stages_on_odd_tables(spark, sf_dir, odd, empty):
-    for table in (odd, empty):
+def test_pipeline_stages_on_odd_tables(spark, sf_dir, odd, clashing, empty):
+    for table in (odd, clashing, empty):
         docs = table
         for _, stage in corpus_pipeline.STAGES[:-1]:
             out = stage(spark, docs, sf_dir)
             assert out.columns == docs.columns
             docs = spark.createDataFrame(out.collect(), docs.schema)
         assert packing.pack(docs).count() >= docs.count()
+
+
+def test_pipeline_removes_what_it_staged(spark, sf_dir):
+    """Of what the stages wrote, the last one's input alone is left."""
+    before = common.written()
+    assert corpus_pipeline.run(spark, sf_dir).count() > 0
+    assert common.written() <= before + 1

@@ -175,7 +175,8 @@ def identify(docs: DataFrame, keys: list[str], declared: Column | None = None, a
         weight = {d: pairs.get((x, d), 0) + (5.0 if d == x else 1.0) for d in said}
         declares |= {(x, d): math.log(w / sum(weight.values())) for d, w in weight.items()}
 
-    fused = scored.join(host_priors(scored), "host")
+    # Written first, so that the rows of one large host can be dealt to several tasks.
+    fused = scored.join(staged(host_priors(scored), "priors"), "host")
     for x in names:
         by = F.lit(0.0)
         for d in said:

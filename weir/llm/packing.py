@@ -101,7 +101,8 @@ def pack_group(rows: pd.DataFrame, length: int = SEQUENCE_TOKENS) -> pd.DataFram
 def pack(docs: DataFrame, vocabulary: str = BYTE_BPE, end_id: int = 0, length: int = SEQUENCE_TOKENS, group_docs: int = GROUP_DOCS) -> DataFrame:
     """Pieces of all documents in sequences of at most `length` tokens, one row each.
 
-    Null and empty texts are documents of the end id alone; a null doc_id stays
+    Null and empty texts are documents of the end id alone; very long ones are
+    encoded whole and cut into as many pieces as they need; a null doc_id stays
     null; repeated rows are packed once each; other columns are not read.  An
     empty table gives no rows.
     """

@@ -261,8 +261,8 @@ def read_documents(shards: DataFrame) -> DataFrame:
 def token_table(docs: DataFrame, vocabulary: str = WORD_BPE, end_id: int = 2, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
     """Documents as read back from their written shards.
 
-    Null and empty texts are the end id alone; repeated rows are documents of
-    their own; a null doc_id stays null and comes first; other columns are not
+    Null and empty texts are the end id alone; a very long text is a shard of its
+    own or the end of one; repeated rows are documents of their own; a null doc_id stays null and comes first; other columns are not
     read; an empty table writes no shard and gives no rows.
     """
     return read_documents(write_shards(docs, vocabulary, end_id, shard_tokens))

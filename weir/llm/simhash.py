@@ -249,15 +249,16 @@ def components(edges: DataFrame) -> DataFrame:
     before = summary(now)
     while before[0]:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        # Large star: larger neighbours of a node go to the smallest of it and its neighbours.
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        # Large star: larger neighbours of a node go to the smallest of it and its neighbours. The smallest ones are
+        # written first, so that the links of a node with very many can be dealt to several tasks.
+        low = staged(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "links")
+        large = staged(both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), "links")
         # Small star: a node and its smaller neighbours go to the smallest of them.
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        least = staged(large.groupBy("a").agg(F.min("b").alias("m")), "links")
         small = large.join(least, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*").where("a <> b").distinct()
         last, now = now, staged(small, "links")
         after = summary(now)
-        unstaged(edges.sparkSession, last)
+        unstaged(edges.sparkSession, last, low, large, least)
         if after == before:
             break
         before = after
@@ -270,7 +271,7 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle_words: int =
     component_id is the smallest doc_id among the documents reachable over links
     of at most `radius` differing bits; root is a fingerprint that names the
     component.  Null and empty texts have fingerprint zero and link like any
-    other; rows with a null doc_id take part, but give their component no id
+    other; very long texts are read whole; rows with a null doc_id take part, but give their component no id
     (null where it has no other); repeated rows are returned once each; other
     columns are not read; an empty table gives no rows.
     """
@@ -290,7 +291,8 @@ def one_of_each(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     groups = near_duplicates(keyed, radius, carry=F.col(row))
     # The partial sums leave one row a component and task, however large a component is.
     kept = groups.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "carried")).alias("k")).select("root", F.col("k.carried").alias("kept"))
-    rejected = groups.join(kept, "root").where("carried <> kept").select(F.col("carried").alias(row))
+    # Written first, so that rows of a large component can be dealt to several tasks.
+    rejected = groups.join(staged(kept, "kept"), "root").where("carried <> kept").select(F.col("carried").alias(row))
     return without_rows(keyed, row, rejected)
 
 
