@@ -455,6 +455,14 @@ def test_one_of_each_with_clashing_columns(odd, clashing):
         assert redacted.columns == table.columns and redacted.count() == table.count()
 
 
+def test_components_by_shuffled_joins(spark, monkeypatch):
+    """The way beyond the size that is broadcast, on a hub with many links."""
+    monkeypatch.setattr(simhash, "BROADCAST_KEYS", 0)
+    edges = [(0, k) for k in range(1, 400)] + [(k, k + 1000) for k in range(0, 400, 2)] + [(5000, 5001)]
+    found = {r["node"]: r["root"] for r in rows_of(simhash.components(spark.createDataFrame(edges, "a long, b long")))}
+    assert found == {x: 0 for e in edges[:-1] for x in e} | {5000: 5000, 5001: 5000}
+
+
 def test_components_of_a_chain(spark):
     edges = [(k, k + 1) for k in range(60)] + [(100, 101), (101, 100), (7, 7)]
     found = {r["node"]: r["root"] for r in rows_of(simhash.components(spark.createDataFrame(edges, "a long, b long")))}

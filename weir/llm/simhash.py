@@ -234,6 +234,15 @@ def links(distinct: DataFrame, radius: int = RADIUS, bucket_rows: int = BUCKET_R
     return found.unionByName(paired.groupBy(*keys, "low", "high").applyInPandas(compare, "a long, b long"))
 
 
+def _dealt(table: DataFrame, most: int) -> DataFrame:
+    """A table of at most so many rows as the side of a join whose other side may have very many rows of one key.
+
+    It is broadcast where that bound allows it, and else written first, so that the other side's rows can be split
+    at run time.
+    """
+    return F.broadcast(table) if most <= BROADCAST_KEYS else staged(table, "links")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root): the smallest node reachable, for every node of an edge (a, b).
 
@@ -249,16 +258,15 @@ def components(edges: DataFrame) -> DataFrame:
     before = summary(now)
     while before[0]:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        # Large star: larger neighbours of a node go to the smallest of it and its neighbours. The smallest ones are
-        # written first, so that the links of a node with very many can be dealt to several tasks.
-        low = staged(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "links")
-        large = staged(both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), "links")
+        # Large star: larger neighbours of a node go to the smallest of it and its neighbours.
+        low = _dealt(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), 2 * before[0])
+        large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         # Small star: a node and its smaller neighbours go to the smallest of them.
-        least = staged(large.groupBy("a").agg(F.min("b").alias("m")), "links")
+        least = _dealt(large.groupBy("a").agg(F.min("b").alias("m")), 2 * before[0])
         small = large.join(least, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*").where("a <> b").distinct()
         last, now = now, staged(small, "links")
         after = summary(now)
-        unstaged(edges.sparkSession, last, low, large, least)
+        unstaged(edges.sparkSession, last)
         if after == before:
             break
         before = after
