@@ -163,7 +163,7 @@ def test_kernel_device_gives_one_record_a_read(tmp_path):
             raise answer
         return answer
 
-    assert list(kernel.device_records(str(path), read)) == [b"6,1,100,-;one", b"6,5,200,-;five"]
+    assert list(kernel.device_records(str(path), read)) == [b"6,1,100,-;one\n SUBSYSTEM=x", b"6,5,200,-;five"]
     with pytest.raises(tail.Fatal):
         kernel.available(str(tmp_path / "none"))
     with pytest.raises(tail.Fatal):
@@ -178,6 +178,9 @@ def test_kernel_messages_are_followed_by_sequence(spark, tmp_path):
     rows, at = reader.read(start)
     assert [r for r, _ in rows] == [b"6,%d,%d,-;m%d" % (k, 1000 * k, k) for k in range(4)] and at["seq"] == 3
     assert len(list(reader.readBetweenOffsets(start, at))) == 4 and kernel.KernelReader({"path": str(path)}).initialOffset()["seq"] == 9
+    captured = tmp_path / "captured"  # longer than one read
+    captured.write_bytes(b"".join(b"6,%d,%d,-;%s\n KEY=%d\n" % (k, k, b"w" * 300, k) for k in range(100)))
+    assert list(kernel.device_records(str(captured))) == [b"6,%d,%d,-;%s\n KEY=%d" % (k, k, b"w" * 300, k) for k in range(100)]
     rows, again = reader.read({"boot": "another", "seq": 99})  # after a restart of the machine sequences begin anew
     assert again["seq"] == 3 and list(reader.readBetweenOffsets({"boot": "x", "seq": 0}, {"boot": "x", "seq": 5})) == []
     upstream = Upstream()
@@ -232,6 +235,16 @@ def test_ring_drops_the_oldest():
         ring.push(2)
 
 
+def test_offer_waits_and_then_drops_the_new_entry():
+    ring = Ring(2, 100)
+    assert ring.offer("a", 60) and not ring.offer("b", 60) and ring.offer("c", 30) and not ring.offer("d")
+    assert (ring.refused, ring.drops) == (2, 0)
+    threading.Timer(0.1, ring.pop, (1,)).start()
+    assert ring.offer("e", 10, wait=10) and ring.pop(9) == ["c", "e"] and ring.offer("large", 500)
+    ring.close()
+    assert not ring.offer("f") and ring.refused == 3
+
+
 def test_gate_is_a_token_bucket():
     gate = Gate(10, 10)
     assert sum(gate.admit(0.0) for _ in range(20)) == 10

@@ -43,23 +43,40 @@ def boot_id(path: str = "/proc/sys/kernel/random/boot_id") -> str:
 
 
 def device_records(path: str, read: Callable[[int, int], bytes] = os.read) -> Iterator[bytes]:
-    """Records that are there now, oldest first, without the lines of key=value pairs that follow some."""
+    """Records that are there now, oldest first; lines of key=value pairs, which begin with a space, belong to the one before.
+
+    A device gives one record a read, a file of captured ones as many as fit.
+    """
+    kept: list[bytes] = []
+    for line in _device_lines(path, read):
+        if kept and not line.startswith(b" "):
+            yield b"\n".join(kept)
+            kept = []
+        if kept or not line.startswith(b" "):
+            kept.append(line)
+    if kept:
+        yield b"\n".join(kept)
+
+
+def _device_lines(path: str, read: Callable[[int, int], bytes]) -> Iterator[bytes]:
     handle = os.open(path, os.O_RDONLY | os.O_NONBLOCK)
+    rest = b""
     try:
         while True:
             try:
                 data = read(handle, RECORD_BYTES)
             except BlockingIOError:
-                return
+                break
             except OSError as failure:
                 if failure.errno == errno.EPIPE:  # overwritten: the next read gives the oldest that is left
                     continue
                 raise
             if not data:
-                return
-            for line in data.split(b"\n"):
-                if line and not line.startswith(b" "):
-                    yield line
+                break
+            *lines, rest = (rest + data).split(b"\n")
+            yield from filter(None, lines)
+        if rest:
+            yield rest
     finally:
         os.close(handle)
 
