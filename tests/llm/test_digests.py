@@ -611,7 +611,22 @@ def check_warc(found, pages):
 
 def test_warc(spark, sf_dir):
     pages = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html").collect()]
-    check_warc(rows_of(catalogue.op10_warc(spark, sf_dir)), pages)
+    check_warc(rows_of(catalogue.warc_histories(spark, sf_dir)), pages)
+
+
+@pytest.mark.parametrize("name", sorted(catalogue.oracle_sql()))
+def test_queries_with_sql(spark, sf_dir, name):
+    import duckdb
+
+    con = duckdb.connect()
+    for table in ("documents", "pages"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM read_parquet('{sf_dir}/{table}.parquet')")
+    cursor = con.execute(catalogue.oracle_sql()[name])
+    names = [d[0] for d in cursor.description]
+    found = catalogue.queries()[name](spark, sf_dir)
+    assert sorted(found.columns) == sorted(names)
+    order = lambda r: tuple((x is not None, x) for x in r)
+    assert sorted((tuple(r[c] for c in names) for r in found.collect()), key=order) == sorted(cursor.fetchall(), key=order)
 
 
 def test_warc_odd(spark):
