@@ -40,7 +40,7 @@ def arguments() -> argparse.ArgumentParser:
 def _session():
     from pyspark.sql import SparkSession
 
-    return SparkSession.builder.appName("weir").config("spark.sql.session.timeZone", "UTC").getOrCreate()
+    return SparkSession.builder.appName("weir").config("spark.sql.session.timeZone", "UTC").config("spark.sql.codegen.hugeMethodLimit", "8000").getOrCreate()  # larger methods are not compiled by the JVM
 
 
 def run_dump(args: argparse.Namespace) -> int:
