@@ -29,6 +29,8 @@ SHARD_TOKENS = 1 << 20
 #: A pair is replaced where it occurs this often in a shard: a rule takes 12 bytes, a use of it saves 4.
 LEAST_USES = 4
 _HASH_BITS = 20
+#: Counts beyond this weigh alike, so that count and slot fit 32 bits.
+_MOST_COUNTED = np.uint32((1 << 32 - _HASH_BITS) - 1)
 _HEADER = struct.Struct("<4sIIIIB")
 _MAGIC = b"WRP1"
 
@@ -58,7 +60,7 @@ def compress(ids: np.ndarray, ends: np.ndarray, least: int = LEAST_USES) -> tupl
     last = ends[np.diff(ends, prepend=0) > 0] - 1
     after[last] = after[n] = before[0] = before[last + 1] = n
     live = np.arange(n + 1) < n
-    weights = np.zeros(n + 1, np.uint64)
+    weights = np.zeros(n + 1, np.uint32)
     draw = np.random.default_rng(5)
     rules = [np.zeros((0, 2), np.uint32)]
     named = base
@@ -75,7 +77,7 @@ def compress(ids: np.ndarray, ends: np.ndarray, least: int = LEAST_USES) -> tupl
         if not len(often):
             break
         at, slot, left, right = at[often], slot[often], left[often], right[often]
-        weight = count[often].astype(np.uint64) << np.uint64(32) | slot
+        weight = np.minimum(count[often], _MOST_COUNTED) << np.uint32(_HASH_BITS) | slot
         weights[at] = weight
         following = after[at]
         chosen = np.flatnonzero((weight >= weights[before[at]]) & (weight >= weights[following]))
@@ -91,7 +93,6 @@ def compress(ids: np.ndarray, ends: np.ndarray, least: int = LEAST_USES) -> tupl
         chosen = chosen[(left[chosen] == left[of_first]) & (right[chosen] == right[of_first])]
         uses = np.bincount(slot[chosen], minlength=1 << bits)
         replaced = chosen[uses[slot[chosen]] >= least]
-        keep = np.zeros(n + 1, bool)
         if len(replaced):
             used = np.flatnonzero(uses >= least)
             rules.append(np.stack([left[first[used]], right[first[used]]], axis=1))
@@ -104,7 +105,7 @@ def compress(ids: np.ndarray, ends: np.ndarray, least: int = LEAST_USES) -> tupl
             before[after[place]] = place
             before[n] = n
             live[gone] = False
-            keep[at] = keep[place] = keep[before[place]] = True
+            around = before[place]
         else:
             # Exact counts; a pair that overlaps itself is given up, or else the one that nothing hinders.
             _, which, exact = np.unique(left.astype(np.uint64) << np.uint64(32) | right, return_inverse=True, return_counts=True)
@@ -112,8 +113,14 @@ def compress(ids: np.ndarray, ends: np.ndarray, least: int = LEAST_USES) -> tupl
             if not rare.any():
                 rare[chosen[left[chosen] == right[chosen]]] = True
                 rare[chosen[weight[chosen] == weight[chosen].max()]] = True
-            keep[at[~rare]] = True
-        at = np.flatnonzero(keep & live & (after < n)).astype(np.int32)
+            at, place, around = at[~rare], at[:0], at[:0]
+        if 256 * len(at) > n:  # few places are sorted, many marked
+            keep = np.zeros(n + 1, bool)
+            keep[at] = keep[place] = keep[around] = True
+            at = np.flatnonzero(keep & live & (after < n)).astype(np.int32)
+        else:
+            at = np.unique(np.concatenate([at, place, around]))
+            at = at[live[at] & (after[at] < n)]
     live = live[:n]
     return symbols[:n][live], np.append(0, np.cumsum(live))[ends], base, np.concatenate(rules)
 

@@ -12,7 +12,6 @@ from __future__ import annotations
 
 import json
 import os
-import re
 from array import array
 from collections.abc import Iterable
 from functools import lru_cache
@@ -47,8 +46,9 @@ _ODD_SPACES = "\x1c\x1d\x1e\x1f\x85\xa0\u1680\u180e\u2000\u2001\u2002\u2003\u200
 _ODD = [c.encode() for c in _ODD_SPACES]
 _ODD_LEADS = _bytes_in([c[0] for c in _ODD])
 
-# Where the word vocabulary cuts lower-case text of ASCII and Latin-1 letters; a byte that no such text has ends each piece.
-_PIECES = re.compile(r"'(?:s|t|re|ve|m|ll|d)|[a-z\xdf-\xf6\xf8-\xff]+|[0-9]|[^\sa-z0-9\xdf-\xf6\xf8-\xff]+")
+# Kinds of bytes between which the word vocabulary cuts: spaces, letters (of which Latin-1 ones have two bytes), digits, and
+# others; a byte that no plain chunk has ends each word.
+_KINDS = np.select([_SPACE, _bytes_in(range(65, 91), range(97, 123), range(128, 256)), _bytes_in(b"0123456789")], [0, 1, 2], 3).astype(np.uint8)
 _END = b"\x01"
 
 
@@ -71,6 +71,9 @@ def places_of(whole: bytes, wanted: bytes) -> list[int]:
 class Encoder:
     """Texts to unsigned 32-bit ids, as the library gives them without its special tokens at the ends."""
 
+    #: Bytes of chunks that go to the library.
+    _foreign = _FOREIGN
+
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
@@ -126,7 +129,7 @@ class Encoder:
         edges = np.frombuffer(chunks.buffers()[1], np.int64)[chunks.offset : chunks.offset + len(chunks) + 1]
         data = np.frombuffer(chunks.buffers()[2], np.uint8)[: edges[-1]] if len(chunks) else np.zeros(0, np.uint8)
         foreign = np.zeros(len(chunks), bool)
-        foreign[np.searchsorted(edges, np.flatnonzero(_FOREIGN[data]), side="right") - 1] = True
+        foreign[np.searchsorted(edges, np.flatnonzero(self._foreign[data]), side="right") - 1] = True
         for text in self._special:
             foreign[np.searchsorted(edges, places_of(data.tobytes(), text), side="right") - 1] = True
         plain, sizes_plain = self._plain(chunks.filter(pa.array(~foreign)))
@@ -174,8 +177,11 @@ class WordEncoder(Encoder):
     Its merges are given to tiktoken as ranks, with a byte after each word for the mark; that byte
     joins the character before it first.  Merges by rank of the result are merges by pair as long as
     the merges make each entry from its own characters, as they do in a vocabulary trained that way.
+    Chunks with an apostrophe, after which letters may be cut off, go to the library.
     """
 
+    _foreign = _FOREIGN | _bytes_in(b"'")
+
     def __init__(self, path: str):
         import tiktoken
 
@@ -201,11 +207,21 @@ class WordEncoder(Encoder):
         edges = np.frombuffer(chunks.buffers()[1], np.int64)[chunks.offset : chunks.offset + len(chunks) + 1]
         data = np.frombuffer(chunks.buffers()[2], np.uint8)[edges[0] : edges[-1]] if len(chunks) else np.zeros(0, np.uint8)
         letters = row_sums((~_SPACE[data]).astype(np.int32), edges - edges[0])
-        joined = np.insert(data, edges[1:] - edges[0], ord("\n")).tobytes().decode().lower()
-        ids = np.asarray(self._ranks.encode_to_numpy(_PIECES.sub(rf"\g<0>{_END.decode()}", joined)), np.uint32)
+        ids = np.asarray(self._ranks.encode_to_numpy(self._ended(data, edges - edges[0]).decode().lower()), np.uint32)
         bounds = np.searchsorted(np.append(0, np.cumsum(self._bytes[ids])), np.cumsum(letters), side="left")
         return self._id_of[ids], np.diff(bounds, prepend=0)
 
+    @staticmethod
+    def _ended(data: np.ndarray, edges: np.ndarray) -> bytes:
+        """Chunks end to end, the end mark after each word."""
+        kinds = _KINDS[data]
+        sign = np.flatnonzero((data[:-1] == 0xC3) & ((data[1:] == 0x97) | (data[1:] == 0xB7)))  # the times and division signs are no letters
+        kinds[sign] = kinds[sign + 1] = 3
+        following = np.append(kinds[1:], np.uint8(0)) if len(kinds) else kinds
+        last = (kinds != 0) & ((kinds != following) | (kinds == 2))
+        last[edges[1:] - 1] = kinds[edges[1:] - 1] != 0
+        return np.insert(data, np.flatnonzero(last) + 1, _END[0]).tobytes()
+
 
 @lru_cache(maxsize=4)
 def encoder(path: str) -> Encoder:
