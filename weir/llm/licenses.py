@@ -11,9 +11,11 @@ stays, of equal priority the longer, and of equal intervals the earlier rule.
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import lru_cache
 from re import _constants as constants
 from re import _parser as parser
 
@@ -265,19 +267,29 @@ def bounded(pattern: str) -> str:
     return re.sub(r"\\b(?=[0-9a-z(])", r"(?<![\\p{L}\\p{N}_])", pattern).replace(r"\b", r"(?![\p{L}\p{N}_])").replace(r"\d", "[0-9]")
 
 
-def rule_table() -> Column:
-    """The rules as a constant: by gate, then by keyword."""
-    grouped: dict[str, dict[str, list[Column]]] = {}
+_TABLE = "array<struct<gate: string, words: array<struct<keyword: string, rules: array<struct<number: int, label: string, priority: int, pattern: string, weight: double>>>>>>"
+
+
+@lru_cache(maxsize=1)
+def gates() -> dict[str, dict[str, list[dict]]]:
+    """The rules by gate, then by keyword."""
+    grouped: dict[str, dict[str, list[dict]]] = {}
     for n, r in enumerate(rules()):
-        row = F.struct(F.lit(n).alias("number"), F.lit(r.label).alias("label"), F.lit(r.priority).alias("priority"), F.lit(bounded(r.pattern)).alias("pattern"), F.lit(r.weight).alias("weight"))
+        row = {"number": n, "label": r.label, "priority": r.priority, "pattern": bounded(r.pattern), "weight": r.weight}
         grouped.setdefault(gate_of(r), {}).setdefault(r.keyword, []).append(row)
-    return F.array(*[F.struct(F.lit(gate).alias("gate"), F.array(*[F.struct(F.lit(word).alias("keyword"), F.array(*rows).alias("rules")) for word, rows in words.items()]).alias("words")) for gate, words in grouped.items()])
+    return grouped
+
+
+def rule_table() -> Column:
+    """The rules as a constant; read from one text, since a Column for each value takes the driver seconds."""
+    table = [{"gate": gate, "words": [{"keyword": word, "rules": rows} for word, rows in words.items()]} for gate, words in gates().items()]
+    return F.from_json(F.lit(json.dumps(table)), _TABLE)
 
 
 def gated(words: Column) -> Column:
     """Whether any rule can match a text of these words."""
     found = F.lit(False)
-    for word in dict.fromkeys(gate_of(r) for r in rules()):
+    for word in gates():
         found = found | F.contains(words, F.lit(word))
     return found
 
