@@ -63,11 +63,11 @@ def finish(df: DataFrame, source: str, error: Column, **columns: Column) -> Data
     """The canonical columns beside what df had; a line in error has only its class, source and raw text."""
     own = [c for c in df.columns if c not in {*schema.COLUMNS, "error_class"} and not c.startswith("_")]
     df = df.withColumn("_error", error)
-    good = F.col("_error").isNull()
     zero = {"ts": F.lit(None), "ts_ns": F.lit(0), "ts_offset_s": F.lit(0), "facility": F.lit(0), "host": F.lit(""), "proc": F.lit(""), "pid": F.lit(0), "fields": schema.no_fields()}
     given = zero | columns | {"src": F.lit(source)}
     given["level"] = schema.level_name(given["severity"])
-    out = [F.when(good | F.lit(f.name == "src"), given[f.name]).cast(f.dataType).alias(f.name) for f in schema.RECORD]
-    # A generator of one row: filters on the record are not pushed below it, where they would repeat the
-    # whole parser inside each predicate.
-    return df.select(*own, F.inline(F.array(F.struct(*out, F.col("_error").alias("error_class")))))
+    good = F.struct(*[given[f.name].cast(f.dataType).alias(f.name) for f in schema.RECORD], F.lit(None).cast("string").alias("error_class"))
+    bad = F.struct(*[F.lit(source if f.name == "src" else None).cast(f.dataType).alias(f.name) for f in schema.RECORD], F.col("_error").alias("error_class"))
+    # One branch a record, not one a column. A generator of one row: filters on the record are not pushed below it,
+    # where they would repeat the whole parser inside each predicate.
+    return df.select(*own, F.inline(F.array(F.when(F.col("_error").isNull(), good).otherwise(bad))))

@@ -15,6 +15,7 @@ from weir.operators.parsers.registry import finish, register
 # Possessive throughout, so that long values take no stack.
 _BLOCKS = r"""(?s)^(?:\[(?:[^"\\\]]++|\\.|"(?:[^"\\]++|\\.)*+")*+\])++"""
 _HEADER = 6
+_MARK = "\ufeff"  # byte order mark before a message in UTF-8
 
 
 class SyslogRFC5424:
@@ -49,7 +50,7 @@ class SyslogRFC5424:
             ts=F.col("_ts"), ts_ns=F.coalesce("_ns", F.lit(0)), ts_offset_s=F.coalesce("_offset", F.lit(0)),
             severity=schema.parsed_severity(F.col("_pri") % 8), facility=F.floor(F.col("_pri") / 8),
             host=text.dash_is_empty(part(2)), proc=text.dash_is_empty(part(3)), pid=F.coalesce(text.integer(part(4)), F.lit(0)),
-            msg=F.regexp_replace(message, r"^\x{FEFF}", ""),
+            msg=F.when(F.startswith(message, F.lit(_MARK)), F.substr(message, F.lit(2))).otherwise(message),
             fields=F.when(F.col("_sd") == "-", schema.no_fields()).otherwise(F.create_map(F.lit("structured_data"), F.col("_sd"))),
         )
 
