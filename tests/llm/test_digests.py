@@ -1,6 +1,7 @@
 """The contract's digests against plain single-process versions, over whole tables."""
 
 import base64
+import glob
 import hashlib
 import re
 import zlib
@@ -8,6 +9,7 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 import regex
 import xxhash
@@ -298,6 +300,37 @@ def test_media_formats_are_all_used(spark, sf_dir):
     assert {r["format"] for r in found} == set(media.NAMES.values()) and all(r["count"] > 10 for r in found)
 
 
+def test_media_is_held_in_small_pieces(spark, monkeypatch):
+    """Stored files come in small row groups, workers get few rows at once, and the session stays as it was."""
+    key, batches = "spark.sql.execution.arrow.maxRecordsPerBatch", spark.sparkContext.accumulator(0)
+    cut = media.slices
+
+    def counted(found, *args):
+        for batch in found:
+            batches.add(batch.num_rows > 2048)
+            yield from cut([batch], *args)
+
+    monkeypatch.setattr(media, "slices", counted)
+    rng = np.random.default_rng(11)
+    rows = [(i, rng.bytes(8000 if i < 600 else 200).hex()) for i in range(5000)]
+    before = spark.conf.get(key, None)
+    stored = media.store(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1))
+    decoded = media.decode(stored)
+    found = media.with_features(decoded)
+    assert spark.conf.get(key, None) == before and batches.value == 0
+    for table in (stored, decoded):
+        for file in glob.glob(f"{table.staged_path.removeprefix('file://')}/*.parquet"):
+            seen = pq.ParquetFile(file).metadata
+            assert max(seen.row_group(k).column(seen.num_columns - 1).total_compressed_size for k in range(seen.num_row_groups)) < 3 << 20
+    check_media(rows_of(found), rows)
+    with media.small_pieces(spark):
+        assert spark.conf.get(key) == "2048"
+        spark.conf.set(key, 7)
+        with media.small_pieces(spark):
+            assert spark.conf.get(key) == "7"
+    assert spark.conf.get(key, None) == before
+
+
 def test_media_decodes_by_the_file(spark):
     """Files of other makers: the tag and rate in the header decide, a null file gives nulls."""
     files = [(1, 2, media.wav(b"\x00\x80", media.MULAW, 16_000)), (2, 2, media.wav(b"\x00\x80", media.ALAW, 8000)), (3, 0, None)]

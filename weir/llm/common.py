@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weir.staging import shared_dir, staged, unstaged, written  # noqa: F401  (the operators take them from here)
+from weir.staging import shared_dir, small_pieces, staged, unstaged, written  # noqa: F401  (the operators take them from here)
 
 #: Bytes of text that one numpy step works on; it bounds a worker's memory.
 SLICE_BYTES = 4 << 20

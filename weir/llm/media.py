@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weir.llm.common import flat_bytes, row_sums, slices, staged
+from weir.llm.common import flat_bytes, row_sums, slices, small_pieces, staged
 
 BLOCK = 576
 PAD = 255
@@ -157,7 +157,8 @@ def store(docs: DataFrame, tag: int | None = None, block: int = BLOCK) -> DataFr
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(t) for t in texts], pa.int64()), pa.array(media, pa.binary())], ["doc_id", "n_bytes", "media"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    return staged(rows.mapInArrow(run, "doc_id long, n_bytes long, media binary"), "media", STORED_LEVEL)
+    with small_pieces(docs.sparkSession):
+        return staged(rows.mapInArrow(run, "doc_id long, n_bytes long, media binary"), "media", STORED_LEVEL, wide="media")
 
 
 _DECODED = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, format string, pcm binary"
@@ -188,7 +189,8 @@ def decode(stored: DataFrame, block: int = BLOCK, target: int = TARGET_RATE) ->
             kinds = dict(payload_bytes=pa.int64(), payload_sha256=pa.string(), tail_crc32=pa.int64(), media_bytes=pa.int64(), media_sha256=pa.string(), format=pa.string(), pcm=pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_bytes"), *[pa.array(columns[c], k) for c, k in kinds.items()]], ["doc_id", "n_bytes", *kinds])
 
-    return staged(stored.select("doc_id", "n_bytes", "media").mapInArrow(run, _DECODED), "pcm", STORED_LEVEL)
+    with small_pieces(stored.sparkSession):
+        return staged(stored.select("doc_id", "n_bytes", "media").mapInArrow(run, _DECODED), "pcm", STORED_LEVEL, wide="pcm")
 
 
 def _features(pcm: list[bytes]) -> list[str]:
@@ -206,7 +208,7 @@ def _features(pcm: list[bytes]) -> list[str]:
 
 
 def with_features(decoded: DataFrame, with_pcm: bool = False) -> DataFrame:
-    """What decode() stored, with a feature string of the PCM that is read back; with_pcm keeps the PCM file too."""
+    """What decode() stored, with a feature string of the PCM that is read back, staged; with_pcm keeps the PCM file too, and stages nothing."""
     names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -220,7 +222,11 @@ def with_features(decoded: DataFrame, with_pcm: bool = False) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(feature, pa.string()) if c == "feature" else batch.column(c) for c in kept], kept)
 
     schema = _DECODED.replace("format string, pcm binary", "feature string, format string" + ", pcm binary" * with_pcm)
-    return decoded.select(*names, "format", "pcm").mapInArrow(run, schema)
+    found = decoded.select(*names, "format", "pcm").mapInArrow(run, schema)
+    if with_pcm:
+        return found
+    with small_pieces(decoded.sparkSession):
+        return staged(found, "features", STORED_LEVEL, wide="feature")
 
 
 def media_columns(docs: DataFrame, tag: int | None = None, with_pcm: bool = False) -> DataFrame:
